@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, html_text, line_dedup, packing
+from . import bpe, exact_dedup, html_text, line_dedup, mtree, packing, quality
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_top_k": mtree.op1_top_k,
+        "op2_quality": quality.op2_quality,
         "op5_bpe": bpe.op5_bpe,
         "op6_exact_dedup": exact_dedup.op6_exact_dedup,
         "op7_packing": packing.op7_packing,
@@ -20,4 +22,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_exact_dedup": exact_dedup.OP6_SQL, "op10_line_dedup": line_dedup.OP10_SQL}
+    return {"op1_top_k": mtree.OP1_SQL, "op6_exact_dedup": exact_dedup.OP6_SQL, "op10_line_dedup": line_dedup.OP10_SQL}
