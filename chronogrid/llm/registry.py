@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, html_text, line_dedup, mtree, packing, quality, substring_dedup
+from . import bpe, exact_dedup, html_text, line_dedup, mtree, packing, quality, substring_dedup, suffix_dedup
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_top_k": mtree.op1_top_k,
         "op2_quality": quality.op2_quality,
+        "op3_suffix_dedup": suffix_dedup.op3_suffix_dedup,
         "op4_substring_dedup": substring_dedup.op4_substring_dedup,
         "op5_bpe": bpe.op5_bpe,
         "op6_exact_dedup": exact_dedup.op6_exact_dedup,

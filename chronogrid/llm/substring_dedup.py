@@ -18,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -116,7 +117,7 @@ def substring_dedup(df: DataFrame, window: int = 20, id_col: str = "doc_id", tex
         return found, (found["d"] == found["d"][head]) & (found["s"] == found["s"][head])
 
     def settle(t: pa.Table) -> pa.Table:
-        read = lambda known: np.frombuffer(b"".join(t.filter(pa.compute.equal(t["_known"], known))["_blob"].to_pylist()), WINDOW)
+        read = lambda known: np.frombuffer(b"".join(t.filter(pc.equal(t["_known"], known))["_blob"].to_pylist()), WINDOW)
         found, head = earliest(read(False))
         return places(np.concatenate([found[~head], read(True)]))
 
