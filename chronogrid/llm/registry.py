@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, html_text, line_dedup, mtree, packing, quality, substring_dedup, suffix_dedup
+from . import bpe, exact_dedup, html_text, line_dedup, minhash_dedup, mtree, packing, quality, substring_dedup, suffix_dedup
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -18,6 +18,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_bpe": bpe.op5_bpe,
         "op6_exact_dedup": exact_dedup.op6_exact_dedup,
         "op7_packing": packing.op7_packing,
+        "op8_minhash_dedup": minhash_dedup.op8_minhash_dedup,
         "op9_html_extraction": html_text.op9_html_extraction,
         "op10_line_dedup": line_dedup.op10_line_dedup,
     }
