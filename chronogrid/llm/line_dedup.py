@@ -6,9 +6,9 @@ an earlier line (smaller id, or same id and earlier line) is equal or one edit a
 line goes only for an equal one. Lines without words stay.
 
 Equal lines: a grouped minimum keeps each distinct line's first place, with map-side combining.
-Candidates: one edit leaves the first or the second half of a line as it was, so only distinct
-lines that share a half (with its length) with another line can have a partner.
-Neighbourhood: candidates emit a hashed key for every one-word deletion and for the whole line;
+Candidates: one edit leaves the first or the last words of a line as they were, so only distinct
+lines that share either with another line can have a partner, and only the rest can differ.
+Neighbourhood: candidates emit a hashed key for every deletion there and for the whole line;
 a key is an exclusive-or over word pairs, so all keys of a line cost time linear in its words.
 Lines with equal keys are paired with the key's earliest line and the edit distance of each
 pair is verified on its words.
@@ -19,16 +19,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, words
+from .common import materialize, table, words
 
-_NO_ID = "9223372036854775808"
+#: Stands for a null id, which ranks after all others.
+_LAST = 2**63 - 1
 _STRIDE = "4294967296"
 
 
 def _place(row_id: Column, line: Column) -> Column:
-    """One number that orders lines by id, then line; null ids come last."""
-    known = F.coalesce(row_id.cast("decimal(20,0)"), F.lit(_NO_ID).cast("decimal(20,0)"))
-    return (known * F.lit(_STRIDE).cast("decimal(11,0)") + line.cast("decimal(10,0)")).cast("decimal(38,0)")
+    """One number that orders lines by id, then line."""
+    return (row_id.cast("decimal(20,0)") * F.lit(_STRIDE).cast("decimal(11,0)") + line.cast("decimal(10,0)")).cast("decimal(38,0)")
 
 
 def _line_of(place: Column) -> Column:
@@ -36,49 +36,62 @@ def _line_of(place: Column) -> Column:
 
 
 def _id_of(place: Column) -> Column:
-    known = ((place - _line_of(place).cast("decimal(10,0)")) / F.lit(_STRIDE).cast("decimal(11,0)")).cast("decimal(20,0)")
-    return F.when(known < F.lit(_NO_ID).cast("decimal(20,0)"), known.cast("long"))
+    return ((place - _line_of(place).cast("decimal(10,0)")) / F.lit(_STRIDE).cast("decimal(11,0)")).cast("decimal(20,0)").cast("long")
 
 
 def _lines(docs: DataFrame) -> DataFrame:
     return docs.select("_id", F.posexplode(F.split("_text", "\n")).alias("_ln", "_line")).select("_id", "_ln", words(F.col("_line")).alias("_w")).filter(F.size("_w") > 0)
 
 
-def _halves() -> Column:
-    """Keys of the halves of a line of n words, as one of n words and as the longer one of a pair."""
+def _part(n: Column) -> Column:
+    """The largest power of two that is at most n / 2."""
+    return F.pow(F.lit(2.0), F.floor(F.log2(n / 2) + 1e-9)).cast("int")
+
+
+def _ends() -> Column:
+    """Keys of a line's first and last p words, p = _part(number of words).
+
+    One edit leaves one of the two as it was. Where the shorter line of a pair would have half
+    the p, both p are used.
+    """
     n = F.size("_w")
-    keys = []
-    for m in (n, n - 1):
-        h = F.floor(m / 2).cast("int")
-        keys.append(F.xxhash64(F.lit("first"), m, F.slice("_w", 1, h)))
-        keys.append(F.xxhash64(F.lit("last"), m, F.slice("_w", n - (m - h) + 1, m - h)))
-    return F.array(*keys)
+    p = _part(n)
+    keys = lambda q: [
+        F.struct(F.lit(True).alias("first"), q.alias("p"), F.xxhash64(F.lit("first"), q, F.slice("_w", 1, q)).alias("k")),
+        F.struct(F.lit(False).alias("first"), q.alias("p"), F.xxhash64(F.lit("last"), q, F.slice("_w", n - q + 1, q)).alias("k")),
+    ]
+    more = F.when(p * 2 == n, F.array(*keys((p / 2).cast("int")))).otherwise(F.array().cast("array<struct<first:boolean,p:int,k:bigint>>"))
+    return F.when(n >= 4, F.concat(F.array(*keys(p)), more))
 
 
-def _variants() -> Column:
-    """(key, position) of all one-word deletions (position from 0) and of the whole line (-1)."""
+def _neighbourhood() -> tuple[Column, Column]:
+    """(hash of the whole line, given it as _t the keys of its deletions at _from.._to - 1 and of the whole, at -1)."""
     n = F.size("_w")
     at = lambda i: F.coalesce(F.get("_w", i), F.lit("\n"))  # noqa: E731  a word holds no line end
-    pair = lambda a, b: F.xxhash64(a, b)
-    whole = F.aggregate(F.sequence(F.lit(0), n), F.lit(0).cast("long"), lambda acc, i: acc.bitwiseXOR(pair(at(i - 1), at(i))))
-    return whole, lambda total: F.concat(
-        F.array(F.struct(F.xxhash64(total, n).alias("key"), F.lit(-1).alias("at"))),
-        F.transform(
-            F.sequence(F.lit(0), n - 1),
-            lambda i: F.struct(
-                F.xxhash64(total.bitwiseXOR(pair(at(i - 1), at(i))).bitwiseXOR(pair(at(i), at(i + 1))).bitwiseXOR(pair(at(i - 1), at(i + 1))), n - 1).alias("key"), i.alias("at")
-            ),
-        ),
+    whole = F.aggregate(F.sequence(F.lit(0), n), F.lit(0).cast("long"), lambda acc, i: acc.bitwiseXOR(F.xxhash64(at(i - 1), at(i))))
+
+    def less(i: Column) -> Column:
+        return F.col("_t").bitwiseXOR(F.xxhash64(at(i - 1), at(i))).bitwiseXOR(F.xxhash64(at(i), at(i + 1))).bitwiseXOR(F.xxhash64(at(i - 1), at(i + 1)))
+
+    keys = F.concat(
+        F.array(F.struct(F.xxhash64("_t", n).alias("key"), F.lit(-1).alias("at"))),
+        F.transform(F.sequence(F.col("_from"), F.col("_to") - 1), lambda i: F.struct(F.xxhash64(less(i), n - 1).alias("key"), i.alias("at"))),
     )
+    return whole, keys
+
 
+def _fetch(docs: DataFrame, asked: DataFrame) -> DataFrame:
+    """asked (_of: a place, _what: a struct) with the words _w of the line there.
 
-def _fetch(docs: DataFrame, places: DataFrame) -> DataFrame:
-    """(_place, _w) of the asked lines; docs is dealt by _id once for all joins with it."""
-    asked = places.select(_id_of(F.col("_place")).alias("_id"), _line_of(F.col("_place")).alias("_ln")).groupBy("_id").agg(F.collect_set("_ln").alias("_asked"))
-    found = docs.join(asked, docs["_id"].eqNullSafe(asked["_id"])).drop(asked["_id"])
-    found = found.select("_id", "_asked", F.posexplode(F.split(F.when(F.col("_more").isNull(), F.lit("")).otherwise(F.col("_text")), "\n")).alias("_ln", "_line"))
-    found = found.filter(F.array_contains("_asked", F.col("_ln")))
-    return found.select(_place(F.col("_id"), F.col("_ln")).alias("_place"), words(F.col("_line")).alias("_w")).dropDuplicates(["_place"])
+    docs is dealt by _id once for all joins with it, as each of them reads the same columns:
+    the optimizer would leave _more out here, and deal the texts again, were it not in an
+    expression (which adds an empty last line to nearly no text).
+    """
+    lists = asked.select(_id_of(F.col("_of")).alias("_id"), F.struct(_line_of(F.col("_of")).alias("ln"), F.col("_what").alias("what")).alias("_a")).groupBy("_id").agg(F.collect_list("_a").alias("_asked"))
+    found = docs.join(lists, "_id")
+    found = found.select("_asked", F.posexplode(F.split(F.concat("_text", F.when(F.xxhash64("_more") == F.xxhash64("_text", F.lit(1)), F.lit("\n")).otherwise(F.lit(""))), "\n")).alias("_ln", "_line"))
+    found = found.select("_line", F.explode(F.filter("_asked", lambda a: a["ln"] == F.col("_ln"))).alias("_a"))
+    return found.select(F.col("_a.what").alias("_what"), words(F.col("_line")).alias("_w"))
 
 
 def _one_edit(a: Column, b: Column) -> Column:
@@ -98,47 +111,60 @@ def line_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", mi
 
     Null text counts as empty (one line without words). Rows that repeat an id share their
     lines' places: the first occurrence stays in each of them. A null id ranks after all
-    others. An empty table gives an empty table. `near=False` removes equal lines only.
+    others (as 2^63 - 1). An empty table gives an empty table. `near=False` removes equal lines only.
     """
     other = [c for c in df.columns if c not in (text_col, "n_lines", "n_removed")]
-    docs = df.select(F.col(id_col).cast("long").alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"), F.struct(*[F.col(f"`{c}`") for c in other]).alias("_more"))
+    docs = df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"), F.struct(*[F.col(f"`{c}`") for c in other]).alias("_more"))
     lines = _lines(docs)
     distinct = (
-        lines.select(F.xxhash64("_w").alias("_h"), F.hash("_w").alias("_g"), F.size("_w").alias("_n"), _place(F.col("_id"), F.col("_ln")).alias("_place"), _halves().alias("_k"))
-        .select("_h", "_g", "_n", "_place", *[F.col("_k")[i].alias(f"_k{i}") for i in range(4)])
+        lines.select(F.xxhash64("_w").alias("_h"), F.hash("_w").alias("_g"), F.size("_w").alias("_n"), _place(F.col("_id"), F.col("_ln")).alias("_place"), _ends().alias("_k"))
+        .select("_h", "_g", "_n", "_place", *[F.get("_k", F.lit(i))["k"].alias(f"_k{i}") for i in range(4)])
         .groupBy("_h", "_g", "_n")
         .agg(F.min("_place").alias("_place"), *[F.max(f"_k{i}").alias(f"_k{i}") for i in range(4)])
     )
+    distinct = materialize(distinct.drop("_h", "_g"))
     kept = distinct.select("_place")
     if near:
-        halves = distinct.filter(F.col("_n") >= min_words).select("_place", F.explode(F.array_distinct(F.array(*[f"_k{i}" for i in range(4)]))).alias("_k"))
-        shared = halves.groupBy("_k").agg(F.count(F.lit(1)).alias("_c")).filter("_c > 1").select("_k")
-        candidates = halves.join(shared, "_k", "left_semi").select("_place").distinct()
-        whole, all_keys = _variants()
-        keys = _fetch(docs, candidates).withColumn("_t", whole).select("_place", F.explode(all_keys(F.col("_t"))).alias("_v")).select("_place", "_v.*")
-        # Deletions at one position: a substitution. The whole of one line, a deletion of another: an insertion.
-        first = keys.groupBy("key", "at").agg(F.min("_place").alias("_first"), F.count(F.lit(1)).alias("_c"))
-        subst = first.filter("at >= 0 and _c > 1").select("key", "at", "_first")
-        both = first.groupBy("key").agg(F.min(F.when(F.col("at") < 0, F.col("_first"))).alias("_whole"), F.min(F.when(F.col("at") >= 0, F.col("_first"))).alias("_less")).filter("_whole is not null and _less is not null")
-        ties = subst.select("key", F.col("at").alias("_at"), "_first").unionByName(both.select("key", F.lit(-1).alias("_at"), F.col("_less").alias("_first"))).unionByName(both.select("key", F.lit(-2).alias("_at"), F.col("_whole").alias("_first")))
-        pairs = (
-            keys.join(ties, "key")
-            .filter((F.col("at") == F.col("_at")) | ((F.col("at") >= 0) & (F.col("_at") == -2)))
-            .filter(F.col("_first") < F.col("_place"))
-            .select("_place", "_first")
-            .distinct()
+        p = _part(F.col("_n"))
+        shape = [(True, p), (False, p), (True, (p / 2).cast("int")), (False, (p / 2).cast("int"))]
+        ends = distinct.filter(F.col("_n") >= max(4, min_words)).select("_place", "_n", F.explode(F.array(*[F.struct(F.lit(f).alias("first"), q.alias("p"), F.col(f"_k{i}").alias("k")) for i, (f, q) in enumerate(shape)])).alias("_e")).select("_place", "_n", "_e.*").filter("k is not null")
+        shared = ends.groupBy("k").agg(F.count(F.lit(1)).alias("_c")).filter("_c > 1").select("k")
+        candidates = (
+            ends.join(shared, "k", "left_semi")
+            .groupBy("_place", "_n")
+            .agg(F.min(F.when(F.col("first"), F.col("p"))).alias("_f"), F.min(F.when(~F.col("first"), F.col("p"))).alias("_l"))
+            .select("_place", F.when(F.col("_l").isNull(), F.col("_f")).otherwise(0).alias("_from"), F.when(F.col("_f").isNull(), F.col("_n") - F.col("_l")).otherwise(F.col("_n")).alias("_to"))
+        )
+        whole, near_keys = _neighbourhood()
+        asked = candidates.select(F.col("_place").alias("_of"), F.struct("_place", "_from", "_to").alias("_what"))
+        keys = _fetch(docs, asked).select("_what.*", "_w").withColumn("_t", whole).select("_place", F.explode(near_keys).alias("_v")).select("_place", "_v.*")
+        # Deletions at one place leave the same: a substitution. A deletion leaves the whole of another line: an insertion.
+        ties = (
+            keys.groupBy("key", "at")
+            .agg(F.min("_place").alias("_first"), F.count(F.lit(1)).alias("_c"))
+            .groupBy("key")
+            .agg(
+                F.min(F.when(F.col("at") < 0, F.col("_first"))).alias("_whole"),
+                F.min(F.when(F.col("at") >= 0, F.col("_first"))).alias("_less"),
+                F.collect_list(F.when((F.col("at") >= 0) & (F.col("_c") > 1), F.struct("at", "_first"))).alias("_same"),
+            )
+            .filter((F.size("_same") > 0) | (F.col("_whole").isNotNull() & F.col("_less").isNotNull()))
         )
-        texts = _fetch(docs, pairs.select("_place").union(pairs.select(F.col("_first").alias("_place"))))
+        partner = F.when(F.col("at") < 0, F.array("_less")).otherwise(F.concat(F.array("_whole"), F.transform(F.filter("_same", lambda x: x["at"] == F.col("at")), lambda x: x["_first"])))
+        pairs = keys.join(ties, "key").select("_place", F.explode(partner).alias("_first")).filter(F.col("_first") < F.col("_place")).distinct()
+        both = pairs.select("_place", "_first", F.explode(F.array("_place", "_first")).alias("_of")).select("_of", F.struct("_place", "_first", "_of").alias("_what"))
         near_lines = (
-            pairs.join(texts, "_place")
-            .join(texts.select(F.col("_place").alias("_first"), F.col("_w").alias("_v")), "_first")
-            .filter(_one_edit(F.col("_w"), F.col("_v")))
+            _fetch(docs, both)
+            .select("_what.*", "_w")
+            .groupBy("_place", "_first")
+            .agg(F.collect_list(F.when(F.col("_of") == F.col("_place"), F.col("_w"))).alias("_a"), F.collect_list(F.when(F.col("_of") == F.col("_first"), F.col("_w"))).alias("_b"))
+            .filter(_one_edit(F.get("_a", F.lit(0)), F.get("_b", F.lit(0))))
             .select("_place")
             .distinct()
         )
         kept = kept.join(near_lines, "_place", "left_anti")
     stay = kept.select(_id_of(F.col("_place")).alias("_id"), _line_of(F.col("_place")).alias("_ln")).groupBy("_id").agg(F.collect_list("_ln").alias("_stay"))
-    out = docs.join(stay, docs["_id"].eqNullSafe(stay["_id"]), "left").drop(stay["_id"])
+    out = docs.join(stay, "_id", "left")
     out = out.withColumn("_all", F.split("_text", "\n"))
     out = out.withColumn("_left", F.filter("_all", lambda line, i: F.coalesce(F.array_contains("_stay", i), F.lit(False)) | ~line.rlike(r"[^\x20\x09-\x0D]")))
     fields = [F.array_join("_left", "\n").alias(c) if c == text_col else F.col("_more")[c].alias(c) for c in df.columns if c not in ("n_lines", "n_removed")]
