@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .common import by_value, shuffle_partitions, table
 from .tokens import small_batches
-from .windows import Words, anchors, byte_slices, cover, grams, spread
+from .windows import RUN, Words, anchors, by_document, byte_slices, cover, grams, runs, spread
 
 _NO_ID = 2**63 - 1
 #: (hash, document, start) of a window.
@@ -50,6 +50,10 @@ def blobs(windows: np.ndarray, buckets: int) -> tuple[list[int], list[bytes]]:
     return [int(of[i]) for i in cut], [w.tobytes() for w in np.split(windows, cut[1:])] if len(of) else []
 
 
+def packed(t: pa.Table, known: bool, kind: np.dtype) -> np.ndarray:
+    return np.frombuffer(b"".join(t.filter(pc.equal(t["_known"], known))["_blob"].to_pylist()), kind)
+
+
 def _chosen(batch: pa.RecordBatch, a: int, b: int, owner: np.ndarray, place: np.ndarray, first: np.ndarray) -> np.ndarray:
     """Which anchors are among the places (counted from their document's start) in column 3."""
     lists = batch.column(3)[a:b]
@@ -105,9 +109,9 @@ def substring_dedup(df: DataFrame, window: int = 20, id_col: str = "doc_id", tex
         """Earliest windows of the batch by hash range; the later ones are known to go."""
         found, head = earliest(found)
         bucket, blob = blobs(found[head], buckets)
-        gone = found[~head]
-        part, out = blobs(gone, buckets)
-        yield pa.record_batch([pa.array(bucket + part, pa.int32()), pa.array([False] * len(bucket) + [True] * len(part)), pa.array(blob + out, pa.binary())], names=["_bucket", "_known", "_blob"])
+        gone = runs(found["d"][~head], found["s"][~head])
+        spot = int(gone["d"][0] % buckets) if len(gone) else 0
+        yield pa.record_batch([pa.array([*bucket, spot], pa.int32()), pa.array([False] * len(bucket) + [True]), pa.array([*blob, gone.tobytes()], pa.binary())], names=["_bucket", "_known", "_blob"])
 
     def earliest(found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(windows by hash, document, start; which of them lie where the first of their hash lies)."""
@@ -117,9 +121,8 @@ def substring_dedup(df: DataFrame, window: int = 20, id_col: str = "doc_id", tex
         return found, (found["d"] == found["d"][head]) & (found["s"] == found["s"][head])
 
     def settle(t: pa.Table) -> pa.Table:
-        read = lambda known: np.frombuffer(b"".join(t.filter(pc.equal(t["_known"], known))["_blob"].to_pylist()), WINDOW)
-        found, head = earliest(read(False))
-        return places(np.concatenate([found[~head], read(True)]))
+        found, head = earliest(packed(t, False, WINDOW))
+        return places(np.concatenate([runs(found["d"][~head], found["s"][~head]), packed(t, True, RUN)]))
 
     keys = docs.select("_id", "_text").mapInArrow(first_level, "_key long, _id long, _at int")
     grown = docs.join(repeated(keys), "_id").select("_id", "_text", "_more", "_at").mapInArrow(full_level, "_bucket int, _known boolean, _blob binary")
@@ -135,7 +138,7 @@ def substring_dedup(df: DataFrame, window: int = 20, id_col: str = "doc_id", tex
                 found = Words([text])
                 stays = np.ones(len(found.starts), bool)
                 if gone:
-                    stays = ~cover(np.frombuffer(b"".join(gone), "<i4").astype(np.int64), window, len(stays))
+                    stays = ~cover(gone, window, len(stays))
                 out.append(b" ".join(text[i:j] for i, j in zip(found.starts[stays].tolist(), found.ends[stays].tolist())))
                 n.append(len(stays))
                 cut.append(int(len(stays) - stays.sum()))
@@ -148,11 +151,9 @@ def substring_dedup(df: DataFrame, window: int = 20, id_col: str = "doc_id", tex
 
 
 def places(gone: np.ndarray) -> pa.Table:
-    """(_id, _gone: packed starts) of windows that go."""
-    gone = gone[np.argsort(gone["d"], kind="stable")]
-    cut = np.flatnonzero(np.concatenate([[True], gone["d"][1:] != gone["d"][:-1]])) if len(gone) else np.zeros(0, int)
-    parts = np.split(gone["s"].astype("<i4"), cut[1:]) if len(gone) else []
-    return pa.table([pa.array(gone["d"][cut], pa.int64()), pa.array([p.tobytes() for p in parts], pa.binary())], names=["_id", "_gone"])
+    """(_id, _gone: packed runs) of starts that go."""
+    docs, packed = by_document(gone)
+    return pa.table([pa.array(docs, pa.int64()), pa.array(packed, pa.binary())], names=["_id", "_gone"])
 
 
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

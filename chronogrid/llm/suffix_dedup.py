@@ -20,14 +20,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import by_value, shuffle_partitions, table
-from .substring_dedup import WINDOW, _chosen, blobs, keyed_docs, places, repeated
+from .substring_dedup import WINDOW, _chosen, blobs, keyed_docs, packed, places, repeated
 from .tokens import small_batches
-from .windows import anchors, between, byte_slices, cover, grams, spread, sums
+from .windows import RUN, anchors, between, byte_slices, cover, grams, runs, spread, sums
 
 _STEP = 0xC2B2AE3D27D4EB4F | 1
 #: A suffix: document, start of its first window, number of windows, distance of the anchor, seen before in this batch, leading string spans buckets.
@@ -145,10 +144,10 @@ def suffix_dedup(df: DataFrame, length: int = 200, lead: int = 32, id_col: str =
                 ends = np.concatenate([[0], np.cumsum(sizes)])
                 rows = [(int(to[x]), one[at[x:y]].tobytes(), text[ends[x] : ends[y]]) for x, y in zip(edge, [*edge[1:], len(at)])]
                 # Windows known to go already; they pass through the buckets.
-                stretch = np.empty(int(gone["n"].sum()), WINDOW)
-                stretch["h"], stretch["d"], stretch["s"] = 0, np.repeat(gone["d"], gone["n"]), spread(gone["s"].astype(np.int64), gone["n"].astype(np.int64))
-                if len(stretch):
-                    rows.append((int(ids[a:b][owner[0]] % buckets), b"", stretch.tobytes()))
+                if len(gone):
+                    known = np.empty(len(gone), RUN)
+                    known["d"], known["s"], known["n"] = gone["d"], gone["s"], gone["n"]
+                    rows.append((int(gone["d"][0] % buckets), b"", known.tobytes()))
                 yield pa.record_batch([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())], names=["_bucket", "_suffixes", "_bytes"])
 
     def settle(t: pa.Table) -> pa.Table:
@@ -157,7 +156,7 @@ def suffix_dedup(df: DataFrame, length: int = 200, lead: int = 32, id_col: str =
             (bodies if s else known).append(raw)
             if s:
                 heads.append(s)
-        gone = [np.frombuffer(b"".join(known), WINDOW)]
+        gone = [np.frombuffer(b"".join(known), RUN)]
         across = np.zeros(0, WINDOW)
         if heads:
             one, data = np.frombuffer(b"".join(heads), SUFFIX), np.frombuffer(b"".join(bodies), np.uint8)
@@ -180,7 +179,7 @@ def suffix_dedup(df: DataFrame, length: int = 200, lead: int = 32, id_col: str =
             twice = same | one["twice"][row[by]]
             found = np.empty(len(by), WINDOW)
             found["h"], found["d"], found["s"] = h[by], one["d"][row[by]], one["s"][row[by]] + (where - at[row])[by]
-            gone.append(found[twice])
+            gone.append(runs(found["d"][twice], found["s"][twice]))
             wide = one["wide"][row[by]]
             if wide.any():
                 v = found["h"]
@@ -198,10 +197,10 @@ def suffix_dedup(df: DataFrame, length: int = 200, lead: int = 32, id_col: str =
         return pa.table([pa.array([*bucket, spot], pa.int32()), pa.array([False] * len(bucket) + [True]), pa.array([*blob, out.tobytes()], pa.binary())], names=["_bucket", "_known", "_blob"])
 
     def meet(t: pa.Table) -> pa.Table:
-        read = lambda known: np.frombuffer(b"".join(t.filter(pc.equal(t["_known"], known))["_blob"].to_pylist()), WINDOW)
-        found = read(False)
+        found = packed(t, False, WINDOW)
         order, twice = _sorted_windows(found["h"])
-        return places(np.concatenate([found[order][twice], read(True)]))
+        found = found[order][twice]
+        return places(np.concatenate([runs(found["d"], found["s"]), packed(t, True, RUN)]))
 
     keys = docs.select("_id", "_text").mapInArrow(suffixes, "_key long, _id long, _at int")
     dealt = docs.join(repeated(keys), "_id").select("_id", "_text", "_more", "_at").mapInArrow(deal, "_bucket int, _suffixes binary, _bytes binary")
@@ -218,7 +217,7 @@ def suffix_dedup(df: DataFrame, length: int = 200, lead: int = 32, id_col: str =
                     cut.append(0)
                     spans.append(0)
                     continue
-                off = cover(np.frombuffer(b"".join(gone), "<i4").astype(np.int64), length, len(text))
+                off = cover(gone, length, len(text))
                 out.append(np.frombuffer(text, np.uint8)[~off].tobytes())
                 cut.append(int(off.sum()))
                 spans.append(int((off & ~np.concatenate([[False], off[:-1]])).sum()))

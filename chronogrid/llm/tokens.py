@@ -178,9 +178,9 @@ def slices(texts: list[str], most: int = 16_000_000):
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Arrow batches of a few thousand rows keep a Python worker's memory low with long texts."""
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > 4000:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4000")
+    """Arrow batches of 2000 rows keep a Python worker's memory low with long texts."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > 2000:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
 
 
 by_value(__name__)

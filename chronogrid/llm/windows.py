@@ -122,11 +122,39 @@ def byte_slices(texts: list[bytes], most: int = 3_000_000):
         yield at, len(texts)
 
 
-def cover(starts: np.ndarray, width: int, n: int) -> np.ndarray:
-    """Which of n places lie in a stretch of `width` that starts at one of `starts`."""
+#: Starts s, s + 1, ... s + n - 1 of a document.
+RUN = np.dtype([("d", "<i8"), ("s", "<i4"), ("n", "<i4")])
+
+
+def runs(d: np.ndarray, s: np.ndarray) -> np.ndarray:
+    """The starts, repeated ones once, as maximal runs by document."""
+    by = np.lexsort((s, d))
+    d, s = d[by], s[by]
+    if not len(d):
+        return np.zeros(0, RUN)
+    fresh = np.concatenate([[True], (d[1:] != d[:-1]) | (s[1:] != s[:-1])])
+    d, s = d[fresh], s[fresh]
+    head = np.flatnonzero(np.concatenate([[True], (d[1:] != d[:-1]) | (s[1:] != s[:-1] + 1)]))
+    out = np.empty(len(head), RUN)
+    out["d"], out["s"], out["n"] = d[head], s[head], np.diff(np.concatenate([head, [len(d)]]))
+    return out
+
+
+def by_document(gone: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
+    """(documents, the packed runs of each)."""
+    gone = gone[np.argsort(gone["d"], kind="stable")]
+    if not len(gone):
+        return np.zeros(0, np.int64), []
+    cut = np.flatnonzero(np.concatenate([[True], gone["d"][1:] != gone["d"][:-1]]))
+    return gone["d"][cut].astype(np.int64), [p.tobytes() for p in np.split(gone, cut[1:])]
+
+
+def cover(packed: list[bytes], width: int, n: int) -> np.ndarray:
+    """Which of n places lie in a stretch of `width` that starts in one of the packed runs."""
+    gone = np.frombuffer(b"".join(packed), RUN)
     edge = np.zeros(n + 1, np.int32)
-    np.add.at(edge, starts, 1)
-    np.add.at(edge, np.minimum(starts + width, n), -1)
+    np.add.at(edge, np.minimum(gone["s"], n), 1)
+    np.add.at(edge, np.minimum(gone["s"].astype(np.int64) + gone["n"] - 1 + width, n), -1)
     return np.cumsum(edge[:-1]) > 0
 
 
