@@ -4,11 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions.config import POINT
 
-RAW = T.StructType.fromDDL("ds string, geom string, per array<int>, tit string, url string, recordType string, tags array<string>, thumbnail string, alt string, text string")
+RAW = "ds string, geom string, per array<int>, tit string, url string, recordType string, tags array<string>, thumbnail string, alt string, text string"
 
 
 def read_raw(spark: SparkSession, path: str, fmt: str = "json") -> DataFrame:
@@ -63,8 +62,8 @@ def within(lon: float, lon_to: float, lat: float, lat_to: float) -> Column:
 #: The derived records of the test tables, in both SQL dialects (string type, array literal).
 FIXTURE = """
 select concat('ds_', l.l_linestatus, '_', l.l_returnflag) as ds,
-  concat('POINT(', cast(cast(4.80 + 0.18 * (((c.c_custkey*7919) % 10007)/10007.0) as decimal(12,7)) as {string}), ' ',
-         cast(cast(52.22 + 0.24 * (((l.l_partkey*104729) % 10007)/10007.0) as decimal(12,7)) as {string}), ')') as geom,
+  concat('POINT(', cast(cast(4.80e0 + 0.18e0 * (((c.c_custkey*7919) % 10007)/10007.0e0) as decimal(12,7)) as {string}), ' ',
+         cast(cast(52.22e0 + 0.24e0 * (((l.l_partkey*104729) % 10007)/10007.0e0) as decimal(12,7)) as {string}), ')') as geom,
   cast(least(year(o.o_orderdate), year(l.l_shipdate)) as int) as start_year,
   cast(greatest(year(o.o_orderdate), year(l.l_shipdate)) as int) as end_year,
   concat('item ', cast(l.l_partkey as {string})) as title,
