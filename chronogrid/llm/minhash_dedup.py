@@ -6,9 +6,10 @@ bitmap in which every sample toggles one bit. The population count of two sketch
 estimates their similarity, most precisely where it is high, and only candidates that may reach
 the threshold are confirmed on their full shingle sets.
 
-Buckets don't emit all pairs. Every member is tried with its bucket's first node; confirmed
+Buckets don't emit all pairs. Every member is tried with its bucket's lead, another node in
+each band; confirmed
 links are joined to components. Members of a bucket that are still in another component than
-its first node are then tried with the bucket's members of other components, with the sketch
+its lead are then tried with the bucket's members of other components, with the sketch
 test inside the join. Nothing is capped.
 
 With 24 bands of 4 samples a pair at similarity 0.85 shares no bucket with probability
@@ -31,7 +32,7 @@ from .tokens import small_batches
 from .windows import Words, byte_slices, grams, mix
 
 _LAST = 2**63 - 1
-_LONGS = 8
+_LONGS = 16
 SKETCH = 64 * _LONGS
 
 
@@ -57,10 +58,15 @@ def odd_sketch(signatures: np.ndarray) -> np.ndarray:
 
 
 def most_bits(samples: int, least: float) -> int:
-    """Bits in which the sketches of a pair at `least` may differ: six deviations of its sample above the mean."""
-    low = max(0.0, least - 6 * math.sqrt(least * (1 - least) / samples))
-    z = SKETCH / 2 * (1 - math.exp(-4 * samples * (1 - low) / SKETCH))
-    return math.ceil(z + 6 * math.sqrt(SKETCH) / 4)
+    """Bits in which the sketches of a pair at `least` may differ: 4.5 standard deviations above the mean.
+
+    Of the samples, Binomial(samples, 1 - least) differ, and each toggles two bits.
+    """
+    differ, spread = samples * (1 - least), math.sqrt(samples * least * (1 - least))
+    fade = math.exp(-4 * differ / SKETCH)
+    bits = SKETCH / 2 * (1 - fade)
+    own = math.sqrt(max(0.0, SKETCH / 4 * (1 - fade * fade))) * math.sqrt(differ / SKETCH)
+    return math.ceil(bits + 4.5 * math.hypot(2 * fade * spread, own))
 
 
 def _components(edges: DataFrame) -> DataFrame:
@@ -84,7 +90,7 @@ def _components(edges: DataFrame) -> DataFrame:
     return roots.unionByName(now.select(F.col("_b").alias("_node"), F.col("_b").alias("_root")).distinct())
 
 
-def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, bands: int = 24, rows: int = 4, samples: int = 128) -> DataFrame:
+def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, bands: int = 24, rows: int = 4, samples: int = 256) -> DataFrame:
     """One row per input row: <id_col>, n_shingles, component_id, kept.
 
     A text's set holds its distinct runs of `shingle` words, lower-cased A-Z, or its words as
@@ -131,14 +137,14 @@ def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     nodes = materialize(sketched.filter("_n > 0").groupBy("_node").agg(F.min("_id").alias("_rep"), F.first("_bands").alias("_bands"), F.first("_odd").alias("_odd")))
     odd = [f"_o{i}" for i in range(_LONGS)]
     spots = nodes.select("_node", "_rep", *[F.col("_odd")[i].alias(c) for i, c in enumerate(odd)], F.posexplode("_bands").alias("_band", "_key"))
-    buckets = spots.groupBy("_band", "_key").agg(F.min(F.struct("_rep", "_node")).alias("_lead"), F.count(F.lit(1)).alias("_c")).filter("_c > 1")
+    buckets = spots.groupBy("_band", "_key").agg(F.min(F.struct(F.xxhash64("_node", "_band").alias("_h"), "_node")).alias("_lead"), F.count(F.lit(1)).alias("_c")).filter("_c > 1")
     limit = most_bits(samples, percent / 100)
 
     def near(one: list[Column], two: list[Column]) -> Column:
         return sum((F.bit_count(x.bitwiseXOR(y)) for x, y in zip(one, two)), F.lit(0)) <= limit
 
     ends = lambda d, s: d.select(F.col("_node").alias(f"_{s}"), F.col("_rep").alias(f"_{s}_rep"), *[F.col("_odd")[i].alias(f"_{s}{i}") for i in range(_LONGS)])
-    star = spots.select("_node", "_band", "_key").join(buckets.select("_band", "_key", F.col("_lead._node").alias("_a")), ["_band", "_key"]).filter("_a != _node").select("_a", F.col("_node").alias("_b")).distinct()
+    star = spots.select("_node", "_band", "_key").join(buckets.select("_band", "_key", F.col("_lead._node").alias("_a")), ["_band", "_key"]).filter("_a != _node").select(F.least("_a", "_node").alias("_a"), F.greatest("_a", "_node").alias("_b")).distinct()
     star = star.join(ends(nodes, "a"), "_a").join(ends(nodes, "b"), "_b")
     star = star.filter(near([F.col(f"_a{i}") for i in range(_LONGS)], [F.col(f"_b{i}") for i in range(_LONGS)])).select("_a", "_a_rep", "_b", "_b_rep")
 
