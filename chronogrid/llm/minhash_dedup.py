@@ -7,10 +7,12 @@ estimates their similarity, most precisely where it is high, and only candidates
 the threshold are confirmed on their full shingle sets.
 
 Buckets don't emit all pairs. Every member is tried with its bucket's lead, another node in
-each band; confirmed
-links are joined to components. Members of a bucket that are still in another component than
-its lead are then tried with the bucket's members of other components, with the sketch
-test inside the join. Nothing is capped.
+each band; confirmed links are joined to components. In buckets that still hold several
+components, members are tried with a second lead, the one whose shingles are most common there.
+Those still apart from it meet others only through a shingle that both have among their rarest
+(prefix filter: a linked pair always has one), so members of a large group that lie just below
+the threshold, each by words of its own, do not meet at all. Shingles are ordered by a table of
+counts of fixed size; any order gives the same links. Nothing is capped.
 
 With 24 bands of 4 samples a pair at similarity 0.85 shares no bucket with probability
 (1 - 0.85^4)^24 = 2e-8; the sketch test allows six standard deviations.
@@ -34,6 +36,10 @@ from .windows import Words, byte_slices, grams, mix
 _LAST = 2**63 - 1
 _LONGS = 16
 SKETCH = 64 * _LONGS
+#: Cells of the table of shingle counts: 8 MB, whatever the input.
+CELLS = 2**21
+#: Sizes of sets are in classes, each this many times the one before.
+_RATIO = 1.02
 
 
 def _family(samples: int) -> tuple[np.ndarray, np.ndarray]:
@@ -69,6 +75,27 @@ def most_bits(samples: int, least: float) -> int:
     return math.ceil(bits + 4.5 * math.hypot(2 * fade * spread, own))
 
 
+def _class(n: int) -> int:
+    return math.floor(math.log(n) / math.log(_RATIO) + 1e-9)
+
+
+def prefix_lengths(n: int, percent: int) -> list[tuple[int, int, bool]]:
+    """(size class of the smaller set of a pair, how many of the rarest shingles must be searched, whether this set is it).
+
+    Sets whose intersection holds t shingles or more share one among the first size - t + 1 of
+    each in any common order, and a linked pair has t >= percent * (sum of sizes) / (100 + percent).
+    """
+    own, least = _class(n), -(-percent * n // 100)
+    out = [(own, n, True)]
+    for c in range(_class(least), own + 1):
+        low = max(math.ceil(_RATIO**c - 1e-6), least)
+        if low <= n and _class(low) == c:
+            out.append((c, n + 1 - -(-percent * (n + low) // (100 + percent)), False))
+    low = math.ceil(_RATIO**own - 1e-6)
+    out[0] = (own, n + 1 - -(-percent * (n + min(low, n)) // (100 + percent)), True)
+    return out
+
+
 def _components(edges: DataFrame) -> DataFrame:
     """(_node, _root) of every node of an edge, by alternating large and small stars on written tables."""
     now = materialize(edges.select("_a", "_b").distinct())
@@ -135,8 +162,7 @@ def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
 
     sketched = materialize(docs.mapInArrow(sketch, "_id long, _node binary, _n long, _bands array<long>, _odd array<long>"))
     nodes = materialize(sketched.filter("_n > 0").groupBy("_node").agg(F.min("_id").alias("_rep"), F.first("_bands").alias("_bands"), F.first("_odd").alias("_odd")))
-    odd = [f"_o{i}" for i in range(_LONGS)]
-    spots = nodes.select("_node", "_rep", *[F.col("_odd")[i].alias(c) for i, c in enumerate(odd)], F.posexplode("_bands").alias("_band", "_key"))
+    spots = nodes.select("_node", "_rep", F.posexplode("_bands").alias("_band", "_key"))
     buckets = spots.groupBy("_band", "_key").agg(F.min(F.struct(F.xxhash64("_node", "_band").alias("_h"), "_node")).alias("_lead"), F.count(F.lit(1)).alias("_c")).filter("_c > 1")
     limit = most_bits(samples, percent / 100)
 
@@ -145,8 +171,13 @@ def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
 
     ends = lambda d, s: d.select(F.col("_node").alias(f"_{s}"), F.col("_rep").alias(f"_{s}_rep"), *[F.col("_odd")[i].alias(f"_{s}{i}") for i in range(_LONGS)])
     star = spots.select("_node", "_band", "_key").join(buckets.select("_band", "_key", F.col("_lead._node").alias("_a")), ["_band", "_key"]).filter("_a != _node").select(F.least("_a", "_node").alias("_a"), F.greatest("_a", "_node").alias("_b")).distinct()
-    star = star.join(ends(nodes, "a"), "_a").join(ends(nodes, "b"), "_b")
-    star = star.filter(near([F.col(f"_a{i}") for i in range(_LONGS)], [F.col(f"_b{i}") for i in range(_LONGS)])).select("_a", "_a_rep", "_b", "_b_rep")
+
+    def plausible(pairs: DataFrame) -> DataFrame:
+        """The pairs (_a, _b) whose sketches allow the threshold, with their _a_rep and _b_rep."""
+        full = pairs.join(ends(nodes, "a"), "_a").join(ends(nodes, "b"), "_b")
+        return full.filter(near([F.col(f"_a{i}") for i in range(_LONGS)], [F.col(f"_b{i}") for i in range(_LONGS)])).select("_a", "_a_rep", "_b", "_b_rep")
+
+    star = plausible(star)
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         """The pairs whose full sets are similar enough; a text that isn't its node's (an id repeated) is passed over."""
@@ -176,16 +207,81 @@ def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
 
     links = materialize(confirmed(star))
     roots = materialize(_components(links))
-    # Buckets whose members are in several components: those apart from the lead's meet all others.
-    placed = spots.join(buckets.select("_band", "_key", F.col("_lead._node").alias("_lead")), ["_band", "_key"])
-    placed = placed.join(roots, "_node", "left").withColumn("_root", F.coalesce("_root", "_node"))
-    lead_root = roots.select(F.col("_node").alias("_lead"), F.col("_root").alias("_lead_root"))
-    placed = placed.join(lead_root, "_lead", "left").withColumn("_main", F.col("_root") == F.coalesce("_lead_root", "_lead")).drop("_lead", "_lead_root")
-    apart = placed.filter(~F.col("_main")).select("_band", "_key", F.col("_node").alias("_a"), F.col("_rep").alias("_a_rep"), F.col("_root").alias("_a_root"), *[F.col(c).alias(f"_a{i}") for i, c in enumerate(odd)])
-    others = placed.select("_band", "_key", F.col("_node").alias("_b"), F.col("_rep").alias("_b_rep"), F.col("_root").alias("_b_root"), F.col("_main").alias("_b_main"), *[F.col(c).alias(f"_b{i}") for i, c in enumerate(odd)])
-    test = (apart["_band"] == others["_band"]) & (apart["_key"] == others["_key"]) & (F.col("_a_root") != F.col("_b_root")) & (F.col("_b_main") | (F.col("_a") < F.col("_b"))) & near([F.col(f"_a{i}") for i in range(_LONGS)], [F.col(f"_b{i}") for i in range(_LONGS)])
-    late = apart.join(others, test).select("_a", "_a_rep", "_b", "_b_rep").distinct()
-    more = materialize(confirmed(late))
+    rooted = lambda d, c, r: d.join(roots.select(F.col("_node").alias(c), F.col("_root").alias(r)), c, "left").withColumn(r, F.coalesce(r, c))
+    # Buckets that still hold several components.
+    placed = rooted(spots.select("_node", "_rep", "_band", "_key").join(buckets.select("_band", "_key"), ["_band", "_key"]), "_node", "_root")
+    split = placed.groupBy("_band", "_key").agg(F.min("_root").alias("_x"), F.max("_root").alias("_y")).filter("_x != _y").select("_band", "_key")
+    members = materialize(placed.join(split, ["_band", "_key"]).select("_band", "_key", "_node", "_rep"))
+    open_texts = members.select("_node", "_rep").distinct().join(docs.select(F.col("_id").alias("_rep"), "_text"), "_rep").select("_node", "_text")
+    open_texts = materialize(open_texts)
+
+    def sets(batch: pa.RecordBatch) -> Iterator[tuple[bytes, np.ndarray]]:
+        """Shingle hashes of each node; a text that isn't its node's (an id repeated) is passed over."""
+        names, texts = batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist()
+        for x, y in byte_slices(texts):
+            low = [t.lower() for t in texts[x:y]]
+            w = Words(low)
+            h = w.hashes()
+            g = grams(h, shingle)
+            for i, (s, e) in enumerate(zip(w.first[:-1].tolist(), w.first[1:].tolist())):
+                if hashlib.blake2b(b" ".join(low[i].split()), digest_size=16).digest() == names[x + i]:
+                    yield names[x + i], np.unique(g[s : e - shingle + 1]) if e - s >= shingle else grams(h[s:e], e - s)
+
+    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [g for _, g in sets(batch)]
+            if found:
+                cell, n = np.unique(np.concatenate(found) % np.uint64(CELLS), return_counts=True)
+                yield pa.record_batch([pa.array(cell.astype(np.int32)), pa.array(n.astype(np.int64))], names=["_cell", "_c"])
+
+    counted = open_texts.mapInArrow(tally, "_cell int, _c long").groupBy("_cell").agg(F.least(F.sum("_c"), F.lit(2**31 - 1)).cast("int").alias("_c")).toArrow()
+    often = np.zeros(CELLS, np.int32)
+    often[counted["_cell"].to_numpy()] = counted["_c"].to_numpy()
+
+    def central(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [(name, float(np.log(often[g % np.uint64(CELLS)]).mean())) for name, g in sets(batch)]
+            yield pa.record_batch([pa.array([x for x, _ in found], pa.binary()), pa.array([x for _, x in found], pa.float64())], names=["_node", "_mid"])
+
+    # A second lead: the member whose shingles the others have most often.
+    mid = materialize(open_texts.mapInArrow(central, "_node binary, _mid double").distinct())
+    leads = members.join(mid, "_node").groupBy("_band", "_key").agg(F.max(F.struct("_mid", "_node"))["_node"].alias("_lead"))
+    members = materialize(members.join(leads, ["_band", "_key"]))
+    second = rooted(rooted(members.select("_node", "_lead").distinct(), "_node", "_root"), "_lead", "_lead_root").filter("_root != _lead_root")
+    second = second.select(F.least("_lead", "_node").alias("_a"), F.greatest("_lead", "_node").alias("_b")).distinct()
+    more = materialize(confirmed(plausible(second)))
+    if more.head(1):
+        links = links.unionByName(more)
+        roots = materialize(_components(links))
+    # The rest exactly: members apart from their second lead, by the prefixes of their rarest shingles.
+    apart = rooted(rooted(members.select("_node", "_lead"), "_node", "_root"), "_lead", "_lead_root").groupBy("_node", "_root").agg(F.max(F.col("_root") != F.col("_lead_root")).alias("_apart"))
+    tags = apart.select("_node", F.xxhash64("_root").alias("_root"), "_apart")
+
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names, keys, small, places, sizes = [], [], [], [], []
+            for name, g in sets(batch):
+                n = len(g)
+                count = often[g % np.uint64(CELLS)]
+                by = np.lexsort((g, count))
+                g, count = g[by], count[by]
+                for c, reach, is_small in prefix_lengths(n, percent):
+                    at = np.flatnonzero(count[:reach] > 1)
+                    keys.append(mix(g[at] + np.uint64(c) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64))
+                    places.append(at.astype(np.int32))
+                    names += [name] * len(at)
+                    small.append(np.full(len(at), is_small))
+                    sizes.append(np.full(len(at), n, np.int32))
+            if names:
+                yield pa.record_batch([pa.array(names, pa.binary()), pa.array(np.concatenate(keys)), pa.array(np.concatenate(small)), pa.array(np.concatenate(places)), pa.array(np.concatenate(sizes))], names=["_node", "_k", "_small", "_p", "_size"])
+
+    entries = materialize(open_texts.mapInArrow(prefixes, "_node binary, _k long, _small boolean, _p int, _size int").join(tags, "_node"))
+    side = lambda d, s: d.select("_k", *[F.col(c).alias(f"{c}_{s}") for c in ("_node", "_root", "_apart", "_p", "_size")])
+    shorter, longer = side(entries.filter("_small"), "s"), side(entries.filter("not _small"), "l")
+    test = F.expr(f"_root_s != _root_l and {100 + percent} * least(_size_s - _p_s, _size_l - _p_l) >= {percent} * (_size_s + _size_l)")
+    met = [x.join(y, "_k").filter(test).select("_node_s", "_node_l") for x, y in ((shorter.filter("_apart_s"), longer), (shorter.filter("not _apart_s"), longer.filter("_apart_l")))]
+    late = met[0].unionByName(met[1]).select(F.least("_node_s", "_node_l").alias("_a"), F.greatest("_node_s", "_node_l").alias("_b")).distinct()
+    more = materialize(confirmed(plausible(late)))
     if more.head(1):
         roots = materialize(_components(links.unionByName(more)))
     least = nodes.select("_node", "_rep").join(roots, "_node").groupBy("_root").agg(F.min("_rep").alias("_least"))

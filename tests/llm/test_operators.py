@@ -187,3 +187,45 @@ def test_empty_tables(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     for f in (exact_dedup.exact_dedup, substring_dedup.substring_dedup, suffix_dedup.suffix_dedup, line_dedup.line_dedup, bpe.bpe_encode, packing.pack, lambda d: mtree.top_k(d.selectExpr("doc_id as vec_id", "array(1.0d) as embedding"))):
         assert f(df).count() == 0
+
+
+def test_near_groups_edited_copies(spark):
+    """Many copies of one text, each with words of its own: links lie on both sides of the threshold."""
+    rng = random.Random(3)
+    base = [f"w{i}" for i in range(150)]
+    rows = []
+    for i in range(150):
+        w = list(base)
+        for _ in range(rng.randint(1, 9)):
+            w[rng.randrange(150)] = f"n{rng.randrange(2000)}"
+        rows.append((i, " ".join(w)))
+    sets = {i: set(zip(t.split(), t.split()[1:], t.split()[2:])) for i, t in rows}
+    root = {i: i for i in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in sets:
+        for j in range(i):
+            if 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j]):
+                x, y = sorted((find(i), find(j)))
+                root[y] = x
+    got = {r.doc_id: r.component_id for r in minhash_dedup.near_groups(spark.createDataFrame(rows, "doc_id long, text string"), shingle=3, percent=85).collect()}
+    assert got == {i: find(i) for i in sets}
+    assert 20 < len(set(got.values())) < 130
+
+
+def test_prefix_lengths():
+    """Of any two sizes that may be linked, both search one class far enough for their least intersection."""
+    for percent in (80, 85):
+        for n in range(1, 400):
+            for m in range(-(-percent * n // 100), n + 1):
+                t = -(-percent * (n + m) // (100 + percent))
+                if t > m:
+                    continue
+                small = {c: reach for c, reach, is_small in minhash_dedup.prefix_lengths(m, percent) if is_small}
+                large = {c: reach for c, reach, is_small in minhash_dedup.prefix_lengths(n, percent) if not is_small}
+                (c, reach), = small.items()
+                assert reach >= m - t + 1 and large[c] >= n - t + 1
