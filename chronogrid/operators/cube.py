@@ -31,6 +31,8 @@ def tag_sets(tags: Column, most: int) -> Column:
 
 def explode_tags(rows: DataFrame, most: int = MAX_COMBO) -> DataFrame:
     """Rows times (tag_parts, tag_key): the base '', every tag, every combination joined by '+'."""
+    if most == 0:
+        return rows.withColumn("tag_parts", F.array().cast("array<string>")).withColumn("tag_key", F.lit(""))
     return rows.withColumn("tag_parts", F.explode(tag_sets(F.col("tags"), most))).withColumn("tag_key", F.array_join("tag_parts", "+"))
 
 
