@@ -41,7 +41,10 @@ KEYS = ["resolution", "slice_key", "record_type", "tag_key", "tag_parts", "row",
 
 def counts(features: DataFrame, slices: list[TimeSlice], grids: list[Grid], most: int = MAX_COMBO) -> DataFrame:
     """The sparse cube: incidences by resolution, slice, type, tag key and cell, in one shuffle with map-side combining."""
-    placed = assign_cells(assign_slices(features, slices), grids)
+    placed = assign_slices(assign_cells(features, grids), slices)
+    if most == 0:
+        cells = placed.groupBy(*[k for k in KEYS if k not in ("tag_key", "tag_parts")]).agg(F.count(F.lit(1)).alias("cnt"))
+        return explode_tags(cells, 0).select(*KEYS, "cnt")
     return explode_tags(placed, most).groupBy(*KEYS).agg(F.count(F.lit(1)).alias("cnt"))
 
 

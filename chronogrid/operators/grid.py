@@ -2,31 +2,49 @@
 
 from __future__ import annotations
 
+from types import SimpleNamespace
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.config import Bounds, Grid
 
 
-def _axis(value: Column, low: float, high: float, size: float, n: int) -> Column:
+_SIZES, _EDGES = ["cols", "rows", "cell_width", "cell_height"], ["min_lon", "max_lon", "min_lat", "max_lat"]
+
+
+def _axis(value: Column, low: float | Column, high: float | Column, size: float | Column, n: int | Column) -> Column:
     """Index on one axis; the exact upper bound falls into the last cell, outside is null."""
-    at = F.floor((value - F.lit(low)) / F.lit(size)).cast("int")
-    at = F.when((value == F.lit(high)) & (at >= n), F.lit(n - 1)).otherwise(at)
+    low, high, size, n = map(F.lit, (low, high, size, n))
+    at = F.floor((value - low) / size).cast("int")
+    at = F.when((value == high) & (at >= n), n - 1).otherwise(at)
     return F.when((at >= 0) & (at < n), at)
 
 
+def _place(b, grid) -> tuple[Column, Column]:
+    """Row and column of a point; the numbers of the grid are constants or columns."""
+    return _axis(F.col("lat"), b.min_lat, b.max_lat, grid.cell_height, grid.rows), _axis(F.col("lon"), b.min_lon, b.max_lon, grid.cell_width, grid.cols)
+
+
 def cell(grid: Grid) -> Column:
     """struct(resolution, row, col, cell_idx), null outside the grid."""
-    b = grid.bounds
-    col = _axis(F.col("lon"), b.min_lon, b.max_lon, grid.cell_width, grid.cols)
-    row = _axis(F.col("lat"), b.min_lat, b.max_lat, grid.cell_height, grid.rows)
+    row, col = _place(grid.bounds, grid)
     return F.when(col.isNotNull() & row.isNotNull(), F.struct(F.lit(grid.name).alias("resolution"), row.alias("row"), col.alias("col"), (row * grid.cols + col).alias("cell_idx")))
 
 
 def assign_cells(features: DataFrame, grids: list[Grid]) -> DataFrame:
-    """One row for each record and grid it lies in; one pass for all grids."""
-    cells = features.withColumn("_cell", F.explode(F.array_compact(F.array(*[cell(g) for g in grids]))))
-    return cells.select("*", "_cell.*").drop("_cell")
+    """One row for each record and grid it lies in; one pass for all grids, the numbers of the grids being columns."""
+    if len(grids) == 1:
+        row, col = _place(grids[0].bounds, grids[0])
+        each, name, n = features, F.lit(grids[0].name), F.lit(grids[0].cols)
+    else:
+        numbers = [F.struct(F.lit(g.name).alias("name"), *[F.lit(getattr(o, k)).alias(k) for o, ks in ((g, _SIZES), (g.bounds, _EDGES)) for k in ks]) for g in grids]
+        each = features.withColumn("_grid", F.explode(F.array(*numbers)))
+        g = SimpleNamespace(**{k: F.col(f"_grid.{k}") for k in _SIZES + _EDGES})
+        row, col = _place(g, g)
+        name, n = F.col("_grid.name"), g.cols
+    cells = each.select(*features.columns, name.alias("resolution"), row.alias("row"), col.alias("col"), n.alias("_cols"))
+    return cells.filter("row is not null and col is not null").withColumn("cell_idx", F.col("row") * F.col("_cols") + F.col("col")).drop("_cols")
 
 
 def blueprint(spark: SparkSession, grid: Grid) -> DataFrame:

@@ -24,7 +24,12 @@ def parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Canonical records, parsed once for each table folder: else the pattern would run again in every filter on lon and lat."""
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _kept:
-        _kept[key] = S.canonical(S.fixture_raw(spark, sf_dir)).persist()
+        out = S.canonical(S.fixture_raw(spark, sf_dir))
+        # A small table lies in one file and would be one task; a large one has tasks enough and isn't shuffled.
+        cores = spark.sparkContext.defaultParallelism
+        if out.rdd.getNumPartitions() < cores:
+            out = out.repartition(cores)
+        _kept[key] = out.persist()
     return _kept[key]
 
 
@@ -33,7 +38,7 @@ def features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def placed(spark: SparkSession, sf_dir: str, grids: list[Grid]) -> DataFrame:
-    return G.assign_cells(C.assign_slices(features(spark, sf_dir), SLICES), grids)
+    return C.assign_slices(G.assign_cells(features(spark, sf_dir), grids), SLICES)
 
 
 def cube(spark: SparkSession, sf_dir: str, grids: list[Grid], most: int) -> DataFrame:
