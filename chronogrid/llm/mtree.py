@@ -31,7 +31,7 @@ _SLACK = 1e-7
 class Page:
     """An M-tree over the rows of `vectors` (integers held as doubles), bulk loaded."""
 
-    def __init__(self, vectors: np.ndarray, ids: list[list[int]], big: float, leaf: int = 96, fan: int = 24):
+    def __init__(self, vectors: np.ndarray, ids: list[list[int]], big: float, leaf: int = 256, fan: int = 24):
         self.vectors, self.ids = vectors, ids
         self.tail = np.sqrt(np.maximum(0.0, big - (vectors * vectors).sum(1)))
         self.nodes: list[tuple] = []  # (kids or None, entries, distances to this node's routing vector, kids' radii)
@@ -58,7 +58,7 @@ class Page:
         if len(rows) <= self.leaf:
             self.nodes.append((None, rows, d, None))
             return len(self.nodes) - 1, float(d.max())
-        centres = self.pick.choice(rows, min(self.fan, len(rows)), replace=False)
+        centres = self.pick.choice(rows, min(self.fan, -(-2 * len(rows) // self.leaf)), replace=False)
         near = np.argmin(np.stack([self.far(rows, c) for c in centres]), 0)
         if np.bincount(near).max() == len(rows):
             near = np.arange(len(rows)) % len(centres)
@@ -92,9 +92,11 @@ class Page:
                 rows = rows[np.abs(d - stored) <= bound]
                 if not len(rows):
                     continue
-                for s, row in zip((self.vectors[rows] @ q).tolist(), rows.tolist()):
-                    if s < least:
-                        continue
+                scores = self.vectors[rows] @ q
+                # Of k + 1 entries one at most is the query itself alone: lower ones can't be among the k best.
+                cut = least if len(scores) <= k + 1 else max(least, float(np.partition(scores, -k - 1)[-k - 1]))
+                hits = np.flatnonzero(scores >= cut)
+                for s, row in zip(scores[hits].tolist(), rows[hits].tolist()):
                     for i in self.ids[row]:
                         if i != own:
                             if len(best) < k:

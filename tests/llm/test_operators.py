@@ -154,6 +154,22 @@ def test_bpe_and_packing(spark, table):
         assert at <= 1024
 
 
+def test_pages_of_several_levels():
+    rng = np.random.default_rng(5)
+    x = np.floor(rng.normal(0, 40, (3000, 8)) + 90 * rng.integers(0, 3, (3000, 1)))
+    x[1000:1100] = x[:100] * 2
+    ids = [[i] if i % 7 else [i, i + 5000, i + 9000] for i in range(3000)]
+    big = float((x * x).sum(1).max())
+    page = mtree.Page.read(mtree.Page(x, ids, big, leaf=20, fan=4).stored())
+    assert len(page.nodes) > 100
+    flat = [(i, row) for row, own in enumerate(ids) for i in own]
+    for own in range(0, 3000, 50):
+        scores = x @ x[own]
+        want = sorted((-scores[row], i) for i, row in flat if i != own)[:5]
+        for least in (-np.inf, -want[-1][0]):
+            assert [(-s, i) for s, i in page.search(x[own], own, 5, big, least)] == want
+
+
 def test_top_k(spark):
     rng = np.random.default_rng(3)
     rows = [(i, [float(x) for x in rng.normal(size=8)]) for i in range(400)] + [(1000 + i, [0.5] * 8) for i in range(30)]
