@@ -9,7 +9,8 @@ Equal lines: a grouped minimum keeps each distinct line's first place, with map-
 Candidates: one edit leaves the first or the last words of a line as they were, so only distinct
 lines that share either with another line can have a partner, and only the rest can differ.
 Neighbourhood: candidates emit a hashed key for every deletion there and for the whole line;
-a key is an exclusive-or over word pairs, so all keys of a line cost time linear in its words.
+a key is an exclusive-or over (word, place) pairs, and all keys of a line are running ones, in
+time n log n in its words. Equal keys mean equal words, but for collisions of 64-bit hashes.
 Lines with equal keys are paired with the key's earliest line and the edit distance of each
 pair is verified on its words.
 """
@@ -65,17 +66,24 @@ def _ends() -> Column:
 
 
 def _neighbourhood() -> tuple[Column, Column]:
-    """(hash of the whole line, given it as _t the keys of its deletions at _from.._to - 1 and of the whole, at -1)."""
-    n = F.size("_w")
-    at = lambda i: F.coalesce(F.get("_w", i), F.lit("\n"))  # noqa: E731  a word holds no line end
-    whole = F.aggregate(F.sequence(F.lit(0), n), F.lit(0).cast("long"), lambda acc, i: acc.bitwiseXOR(F.xxhash64(at(i - 1), at(i))))
-
-    def less(i: Column) -> Column:
-        return F.col("_t").bitwiseXOR(F.xxhash64(at(i - 1), at(i))).bitwiseXOR(F.xxhash64(at(i), at(i + 1))).bitwiseXOR(F.xxhash64(at(i - 1), at(i + 1)))
+    """(hash of the whole line, given it as _t the keys of its deletions at _from.._to - 1 and of the whole, at -1).
 
+    A hash is the exclusive-or over pairs of a word and its place. As a place holds one word, no
+    pair occurs twice, and lines with equal hashes have the same words in the same order.
+    """
+    n = F.size("_w")
+    word = lambda i, place: F.xxhash64(F.get("_w", i), place)
+    xor = lambda a, b: a.bitwiseXOR(b)
+    whole = F.aggregate(F.sequence(F.lit(0), n - 1), F.lit(0).cast("long"), lambda acc, i: xor(acc, word(i, i)))
+    # The key of the first deletion, and how each further key differs from the one before it.
+    first = F.aggregate(F.sequence(F.lit(0), n - 1), F.lit(0).cast("long"), lambda acc, i: F.when(i < F.col("_from"), xor(acc, word(i, i))).when(i > F.col("_from"), xor(acc, word(i, i - 1))).otherwise(acc))
+    steps = F.transform(F.sequence(F.col("_from"), F.col("_to") - 1), lambda i: F.when(i == F.col("_from"), first).otherwise(xor(word(i - 1, i - 1), word(i, i - 1))))
+    # Running exclusive-or by doubling strides.
+    strides = F.filter(F.array(*[F.lit(2**b) for b in range(31)]), lambda s: s < F.col("_to") - F.col("_from"))
+    less = F.aggregate(strides, steps, lambda acc, s: F.transform(acc, lambda x, i: xor(x, F.coalesce(F.get(acc, i - s), F.lit(0).cast("long")))))
     keys = F.concat(
         F.array(F.struct(F.xxhash64("_t", n).alias("key"), F.lit(-1).alias("at"))),
-        F.transform(F.sequence(F.col("_from"), F.col("_to") - 1), lambda i: F.struct(F.xxhash64(less(i), n - 1).alias("key"), i.alias("at"))),
+        F.transform(less, lambda x, i: F.struct(F.xxhash64(x, n - 1).alias("key"), (i + F.col("_from")).alias("at"))),
     )
     return whole, keys
 

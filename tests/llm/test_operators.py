@@ -245,3 +245,11 @@ def test_prefix_lengths():
                 large = {c: reach for c, reach, is_small in minhash_dedup.prefix_lengths(n, percent) if not is_small}
                 (c, reach), = small.items()
                 assert reach >= m - t + 1 and large[c] >= n - t + 1
+
+
+def test_line_dedup_permuted_lines(spark):
+    """Lines that differ by the order of words between equal ones aren't taken for each other."""
+    line = lambda *w: "Sizes on offer today | " + " | ".join(w)
+    rows = [(1, line("small", "medium", "large", "huge")), (2, line("medium", "small", "large", "huge")), (3, line("medium", "small", "large", "tiny"))]
+    got = {r.doc_id: r.n_removed for r in line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: 0, 2: 0, 3: 1}
