@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..functions.config import GRIDS, POINT, PRIMARY, RAW_BOUNDS, Grid, TimeSlice
+from ..functions.config import GRIDS, HISTOGRAM_TAGS, POINT, PRIMARY, RAW_BOUNDS, Grid, TimeSlice
 from ..operators import cube as C
 from ..operators import grid as G
 from ..operators import merge as M
@@ -173,13 +173,22 @@ def _(s, d):
     return _histogram(s, d, 0, F.col("tag_key") == "").drop("tag_key")
 
 
-@_q("histogram_tags")
-def _(s, d):
-    tags = C.first_tags(features(s, d), 5)
+def _tag_histogram(s, d, n):
+    tags = C.first_tags(features(s, d), n)
     c = cube(s, d, [COARSE], 1)
     return C.histogram(c, SLICES, c.select("record_type").distinct().crossJoin(tags), COARSE.name)
 
 
+@_q("histogram_tags")
+def _(s, d):
+    return _tag_histogram(s, d, 5)
+
+
+@_q("histogram_tags_first")
+def _(s, d):
+    return _tag_histogram(s, d, HISTOGRAM_TAGS)
+
+
 @_q("histogram_combos")
 def _(s, d):
     return _histogram(s, d, 2, F.size("tag_parts") > 1)
@@ -455,6 +464,7 @@ SQL: dict[str, str] = {
     "combo_top10": _coarse(4, "select tag_key, sum(cnt)::bigint as cnt from c where np > 1 group by 1 order by cnt desc, tag_key limit 10"),
     "histogram_base": _coarse(0, f"select record_type, slice_key, cnt from ({_bins('true')})"),
     "histogram_tags": _coarse(1, ", top as (select t as tag_key from (select unnest(tags) as t from f) group by 1 order by count(*) desc, t limit 5) select record_type, tag_key, slice_key, coalesce(n, 0)::bigint as cnt from (select distinct record_type from c) cross join top cross join sl left join (select record_type, tag_key, slice_key, sum(cnt) as n from c where np = 1 group by all) using (record_type, tag_key, slice_key)"),
+    "histogram_tags_first": _coarse(1, f", top as (select t as tag_key from (select unnest(tags) as t from f) group by 1 order by count(*) desc, t limit {HISTOGRAM_TAGS}) select record_type, tag_key, slice_key, coalesce(n, 0)::bigint as cnt from (select distinct record_type from c) cross join top cross join sl left join (select record_type, tag_key, slice_key, sum(cnt) as n from c where np = 1 group by all) using (record_type, tag_key, slice_key)"),
     "histogram_combos": _coarse(2, _bins("np > 1")),
     "histogram_summary": _coarse(1, f"select record_type, tag_key, max(cnt) as max_count, sum(cnt)::bigint as total_features, count(*) as n_bins from ({_bins('true')}) group by all"),
     "visualization_stats": f"with {_RAW}, {_placed_sql(PRIMARY)} select coalesce(record_type, 'total') as record_type, count(*) as features, {len(SLICES)} as n_slices, 5625 as n_cells, 3 as n_resolutions from p group by grouping sets ((record_type), ())",

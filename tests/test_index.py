@@ -85,3 +85,11 @@ def test_store_round_trip(spark, tmp_path):
     assert back["counts"].select(*C.KEYS, "cnt").exceptAll(cube.select(*C.KEYS, "cnt")).count() == 0
     assert back["counts"].count() == cube.count()
     assert back["metadata"].first()["total_features"] > 0
+
+
+def test_histograms_of_the_first_tags(spark):
+    """The first 20 tags have histograms; the fixture has 18, so all of them."""
+    tags = {r.tag for r in catalogue.features(spark, SF).select(F.explode("tags").alias("tag")).distinct().collect()}
+    assert 5 < len(tags) <= 20
+    assert {r.tag_key for r in catalogue.QUERIES["histogram_tags_first"](spark, SF).collect()} == tags
+    test_query_equals_its_sql(spark, "histogram_tags_first")
