@@ -45,6 +45,18 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def distinct_ids(docs: DataFrame) -> DataFrame:
+    """docs (_id, _text, others) with an _id of its own for every row, in the order of the given ones.
+
+    Where no id is repeated, docs as it is. Else rows are sorted by id, those that share one by
+    a hash of their text, equal texts in any order, numbered, and written once.
+    """
+    if docs.groupBy("_id").agg(F.count(F.lit(1)).alias("_c")).filter("_c > 1").isEmpty():
+        return docs
+    ordered = docs.withColumns({"_hash": F.xxhash64("_text"), "_row": F.monotonically_increasing_id()}).orderBy("_id", "_hash", "_row")
+    return materialize(ordered.withColumn("_id", F.monotonically_increasing_id()).select(*docs.columns))
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

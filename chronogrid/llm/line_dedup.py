@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, table, words
+from .common import distinct_ids, materialize, table, words
 
 #: Stands for a null id, which ranks after all others.
 _LAST = 2**63 - 1
@@ -117,12 +117,13 @@ def _one_edit(a: Column, b: Column) -> Column:
 def line_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 8, near: bool = True) -> DataFrame:
     """df's rows and columns with `text_col` cleaned, and n_lines, n_removed (replaced if df has them).
 
-    Null text counts as empty (one line without words). Rows that repeat an id share their
-    lines' places: the first occurrence stays in each of them. A null id ranks after all
-    others (as 2^63 - 1). An empty table gives an empty table. `near=False` removes equal lines only.
+    Null text counts as empty (one line without words). Rows that share an id are documents of
+    their own, ranked by a hash of their text. A null id ranks after all others (as 2^63 - 1).
+    An empty table gives an empty table. `near=False` removes equal lines only.
     """
     other = [c for c in df.columns if c not in (text_col, "n_lines", "n_removed")]
     docs = df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"), F.struct(*[F.col(f"`{c}`") for c in other]).alias("_more"))
+    docs = distinct_ids(docs)
     lines = _lines(docs)
     distinct = (
         lines.select(F.xxhash64("_w").alias("_h"), F.hash("_w").alias("_g"), F.size("_w").alias("_n"), _place(F.col("_id"), F.col("_ln")).alias("_place"), _ends().alias("_k"))

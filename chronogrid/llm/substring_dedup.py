@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import by_value, shuffle_partitions, table
+from .common import by_value, distinct_ids, shuffle_partitions, table
 from .tokens import small_batches
 from .windows import RUN, Words, anchors, by_document, byte_slices, cover, grams, runs, spread
 
@@ -32,9 +32,10 @@ WINDOW = np.dtype([("h", "<u8"), ("d", "<i8"), ("s", "<i4")])
 
 
 def keyed_docs(df: DataFrame, id_col: str, text_col: str, drop: tuple[str, ...] = ()) -> tuple[DataFrame, list[str]]:
-    """(_id, _text, _more: the other columns), dealt by _id in one exchange for all joins; null ids come last."""
+    """(_id: one for each row, _text, _more: the other columns), dealt by _id in one exchange for all joins; null ids come last."""
     other = [c for c in df.columns if c not in (text_col, *drop)]
-    return df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"), F.struct(*[F.col(f"`{c}`") for c in other]).alias("_more")), other
+    docs = df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"), F.struct(*[F.col(f"`{c}`") for c in other]).alias("_more"))
+    return distinct_ids(docs), other
 
 
 def repeated(keys: DataFrame) -> DataFrame:
@@ -68,9 +69,9 @@ def substring_dedup(df: DataFrame, window: int = 20, id_col: str = "doc_id", tex
     A word goes when a window of `window` words over it has the same words as a window that
     starts earlier: in a document of smaller id, or before it in the same one. Windows are
     judged on the input. Null text has no words; a text shorter than a window keeps all.
-    Null ids rank after all others (as id 2^63 - 1); rows that share an id share their places:
-    equal windows at one place don't remove each other. Columns n_words and n_removed of df
-    are replaced. An empty table gives an empty one.
+    Null ids rank after all others (as id 2^63 - 1); rows that share an id are documents of
+    their own, ranked by a hash of their text. Columns n_words and n_removed of df are
+    replaced. An empty table gives an empty one.
     """
     spark = df.sparkSession
     small_batches(spark)

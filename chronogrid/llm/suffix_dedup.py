@@ -72,11 +72,10 @@ def suffix_dedup(df: DataFrame, length: int = 200, lead: int = 32, id_col: str =
     Texts are UTF-8 bytes, null text is empty. Every byte goes that lies in a string of
     `length` bytes which also starts anywhere else in the table, in the same text or another;
     occurrences may overlap, matches stay within a text, and strings are judged on the input.
-    n_spans counts maximal removed runs. Texts shorter than `length` stay whole. Repeated rows
-    are texts of their own as far as matching goes; rows that share an id share the places
-    that go. A null id counts as 2^63 - 1 within. An empty table gives an empty result; other
-    columns are ignored. Splitters come from about `sampled_docs` documents; the sample shapes
-    the buckets, not the result.
+    n_spans counts maximal removed runs. Texts shorter than `length` stay whole. Rows that
+    share an id, or have none, are texts of their own. An empty table gives an empty result;
+    other columns are ignored. Splitters come from about `sampled_docs` documents; the sample
+    shapes the buckets, not the result.
     """
     spark = df.sparkSession
     small_batches(spark)

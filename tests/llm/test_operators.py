@@ -253,3 +253,20 @@ def test_line_dedup_permuted_lines(spark):
     rows = [(1, line("small", "medium", "large", "huge")), (2, line("medium", "small", "large", "huge")), (3, line("medium", "small", "large", "tiny"))]
     got = {r.doc_id: r.n_removed for r in line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {1: 0, 2: 0, 3: 1}
+
+
+def test_dedup_of_rows_without_an_id_of_their_own(spark):
+    """Null and repeated ids: every row is a document, and only its own copies go."""
+    name = lambda k: " ".join(f"{k}word{i}" for i in range(60))
+    own = [name(k) for k in "abcdefg"]
+    rows = [(None, name("p") + " " + own[0]), (None, name("p") + " " + own[1]), (None, own[2]), (7, name("q") + " " + own[3]), (7, name("q") + " " + own[4]), (7, own[5]), (9, own[6])]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted((r.text.split()[-60:], r.n_words, r.n_removed, r.doc_id) for r in substring_dedup.substring_dedup(df).collect())
+    assert [" ".join(w) for w, *_ in got] == own and [i for *_, i in got] == [i for i, _ in rows]
+    cut = [n for _, _, n, _ in got]
+    assert sorted(cut[:2]) == sorted(cut[3:5]) == [0, 60] and cut[2] == cut[5] == cut[6] == 0
+    assert sorted((bytes(r.kept).decode(), r.doc_id) for r in suffix_dedup.suffix_dedup(df).collect()) == [(t, i) for t, (i, _) in zip(own, rows)]
+    lines = [(None, own[0] + "\n" + own[1]), (None, own[2] + "\n" + own[0] + " x"), (7, own[3] + "\n" + own[4]), (7, own[5] + "\n" + own[3]), (7, own[6])]
+    got = line_dedup.line_dedup(spark.createDataFrame(lines, "doc_id long, text string").repartition(3)).collect()
+    left = sorted(x.removesuffix(" x") for r in got for x in r.text.split("\n"))
+    assert left == own and sum(r.n_removed for r in got) == 2
