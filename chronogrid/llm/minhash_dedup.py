@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import by_value, materialize, table
+from .common import by_value, distinct_ids, materialize, table
 from .tokens import small_batches
 from .windows import Words, byte_slices, grams, mix
 
@@ -122,14 +122,34 @@ def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
 
     A text's set holds its distinct runs of `shingle` words, lower-cased A-Z, or its words as
     one where they are fewer. Texts are linked when 100 * intersection >= percent * union;
-    component_id is the smallest id reachable and kept tells whether it is the row's own.
-    Texts without words (null, empty, blank) have an empty set and no links. Null ids rank
-    after all others; a component of null ids only has a null component_id. Rows that repeat
-    an id are nodes of their own by their texts. An empty table gives an empty result.
+    component_id is the smallest id reachable and kept holds for one row of each component,
+    which has this id. Texts without words (null, empty, blank) have an empty set and no
+    links. Null ids rank after all others; a component of null ids only has a null
+    component_id. Rows that share an id are documents of their own, ranked by a hash of their
+    text. An empty table gives an empty result.
     """
-    spark = df.sparkSession
+    given = _documents(df, id_col, text_col)
+    docs = distinct_ids(given)
+    out = _groups(docs, shingle, percent, bands, rows, samples)
+    kept = F.col("_id") == F.col("_component")
+    known = lambda c: F.when(F.col(c) != _LAST, F.col(c))
+    if docs is given:
+        return out.select(known("_id").alias(id_col), F.col("_n").alias("n_shingles"), known("_component").alias("component_id"), kept.alias("kept"))
+    ids = lambda key, name: docs.select(F.col("_id").alias(key), F.col("_given").alias(name))
+    named = out.join(ids("_id", "_own"), "_id").join(ids("_component", "_least"), "_component")
+    return named.select(F.col("_own").alias(id_col), F.col("_n").alias("n_shingles"), F.col("_least").alias("component_id"), kept.alias("kept"))
+
+
+def _documents(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(_id, null as the last, _text, _given: the id as it is, _more: all columns)."""
+    return df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"), F.col(id_col).cast("long").alias("_given"), F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_more"))
+
+
+def _groups(rows_of: DataFrame, shingle: int, percent: int, bands: int, rows: int, samples: int) -> DataFrame:
+    """(_id, _n: number of shingles, _component: least _id of the row's component) of rows with distinct _id."""
+    spark = rows_of.sparkSession
     small_batches(spark)
-    docs = df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
+    docs = rows_of.select("_id", "_text")
     a, b = _family(samples)
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -287,14 +307,14 @@ def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     least = nodes.select("_node", "_rep").join(roots, "_node").groupBy("_root").agg(F.min("_rep").alias("_least"))
     whole = nodes.select("_node", "_rep").join(roots, "_node", "left").join(least, "_root", "left").select("_node", F.coalesce("_least", "_rep").alias("_component"))
     out = sketched.select("_id", "_node", "_n").join(whole, "_node", "left").withColumn("_component", F.coalesce("_component", "_id"))
-    known = lambda c: F.when(F.col(c) != _LAST, F.col(c))
-    return out.select(known("_id").alias(id_col), F.col("_n").alias("n_shingles"), known("_component").alias("component_id"), (F.col("_id") == F.col("_component")).alias("kept"))
+    return out.select("_id", "_n", "_component")
 
 
-def near_dedup(df: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """The rows of df whose id is the smallest of its group, with all their columns."""
-    kept = near_groups(df, id_col, **options).filter("kept").select(F.col(id_col).alias("_kept_id")).distinct()
-    return df.join(kept, df[id_col].eqNullSafe(kept["_kept_id"]), "left_semi")
+def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, bands: int = 24, rows: int = 4, samples: int = 256) -> DataFrame:
+    """One row of each group, the one near_groups keeps, with all its columns."""
+    docs = distinct_ids(_documents(df, id_col, text_col))
+    kept = _groups(docs, shingle, percent, bands, rows, samples).filter("_id = _component").select("_id")
+    return docs.join(kept, "_id", "left_semi").select("_more.*")
 
 
 def op8_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -270,3 +270,14 @@ def test_dedup_of_rows_without_an_id_of_their_own(spark):
     got = line_dedup.line_dedup(spark.createDataFrame(lines, "doc_id long, text string").repartition(3)).collect()
     left = sorted(x.removesuffix(" x") for r in got for x in r.text.split("\n"))
     assert left == own and sum(r.n_removed for r in got) == 2
+
+
+def test_near_dedup_of_null_ids(spark):
+    """One row of each group stays, also where ids are null or repeated."""
+    text = lambda k: " ".join(f"{k}{i}" for i in range(40))
+    rows = [(None, text("a")), (None, text("a")), (None, text("b")), (None, text("c")), (5, text("c")), (6, text("d")), (6, text("d")), (6, text("e"))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    kept = sorted((r.text, r.doc_id) for r in minhash_dedup.near_dedup(df).collect())
+    assert kept == [(text("a"), None), (text("b"), None), (text("c"), 5), (text("d"), 6), (text("e"), 6)]
+    got = sorted((r.doc_id or 0, r.component_id or 0, r.kept) for r in minhash_dedup.near_groups(df).collect())
+    assert got == [(0, 0, False), (0, 0, True), (0, 0, True), (0, 5, False), (5, 5, True), (6, 6, False), (6, 6, True), (6, 6, True)]
