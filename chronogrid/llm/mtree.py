@@ -138,15 +138,14 @@ def top_k(df: DataFrame, k: int = 5, id_col: str = "vec_id", vector_col: str = "
     Components become floor(scale * x). Queries are the rows whose id is divisible by `every`;
     rows with the query's own id are no candidates. Ties go to the smaller id; with fewer than
     k candidates all are returned. Null ids, and vectors that are null, empty or hold null or
-    non-finite components take no part; vectors of different lengths aren't compared. Rows that
-    repeat id and vector count once. `pivots` bounds what the driver holds: that many vectors
+    non-finite components take no part; vectors of different lengths aren't compared, and each
+    length, however many there are, is a search of its own. Rows that repeat id and vector count once. `pivots` bounds what the driver holds: that many vectors
     of a sample of 8 * pivots.
     """
     spark = df.sparkSession
     rows = df.select(F.col(id_col).cast("long"), F.col(vector_col).cast("array<double>")).mapInArrow(lambda b: _valid(b, scale), "_id long, _v binary, _d int, _nn double").distinct()
     rows = materialize(rows)
-    names = [r["_d"] for r in rows.select("_d").distinct().limit(1000).collect()]
-    parts = [_search(rows.filter(F.col("_d") == d), k, every, pivots, page_rows, block, spark) for d in sorted(names)]
+    parts = [_search(rows.filter(F.col("_d") == d), k, every, pivots, page_rows, block, spark) for d in _lengths(rows)]
     if not parts:
         return spark.createDataFrame([], f"query_id long, rank int, `{id_col}` long, score long")
     out = parts[0]
@@ -155,6 +154,10 @@ def top_k(df: DataFrame, k: int = 5, id_col: str = "vec_id", vector_col: str = "
     return out.withColumnRenamed("_id", id_col)
 
 
+def _lengths(rows: DataFrame) -> list[int]:
+    return sorted(r["_d"] for r in rows.select("_d").distinct().collect())
+
+
 def _search(rows: DataFrame, k: int, every: int, pivots: int, page_rows: int, block: int, spark: SparkSession) -> DataFrame:
     big = float(rows.agg(F.max("_nn")).first()[0])
     first = W.partitionBy("_v").orderBy("_id")

@@ -281,3 +281,7 @@ def test_near_dedup_of_null_ids(spark):
     assert kept == [(text("a"), None), (text("b"), None), (text("c"), 5), (text("d"), 6), (text("e"), 6)]
     got = sorted((r.doc_id or 0, r.component_id or 0, r.kept) for r in minhash_dedup.near_groups(df).collect())
     assert got == [(0, 0, False), (0, 0, True), (0, 0, True), (0, 5, False), (5, 5, True), (6, 6, False), (6, 6, True), (6, 6, True)]
+
+
+def test_every_vector_length_is_searched(spark):
+    assert mtree._lengths(spark.range(1, 1501).selectExpr("cast(id as int) as _d")) == list(range(1, 1501))
