@@ -1,6 +1,7 @@
 """Operators against plain Python versions on small tables with nulls, ties, repeats and clashing columns."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -285,3 +286,18 @@ def test_near_dedup_of_null_ids(spark):
 
 def test_every_vector_length_is_searched(spark):
     assert mtree._lengths(spark.range(1, 1501).selectExpr("cast(id as int) as _d")) == list(range(1, 1501))
+
+
+def test_sketches_refuse_nearly_no_pair_at_the_threshold():
+    """Chance that a pair at the threshold differs in more bits than allowed: by the number of samples that differ, two toggles each."""
+    cells, samples = minhash_dedup.SKETCH, 256
+    for least in (0.8, 0.85):
+        odd = np.zeros(cells + 1)
+        odd[0] = 1.0
+        more, limit, up = 0.0, minhash_dedup.most_bits(samples, least), 1 - np.arange(cells + 1) / cells
+        for d in range(samples + 1):
+            more += math.comb(samples, d) * (1 - least) ** d * least ** (samples - d) * odd[limit + 1 :].sum()
+            for _ in range(2):
+                odd = np.concatenate([[0.0], (odd * up)[:-1]]) + np.concatenate([(odd * (1 - up))[1:], [0.0]])
+        print(least, limit, more)
+        assert more < 1e-7
