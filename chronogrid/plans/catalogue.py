@@ -158,6 +158,16 @@ def _(s, d):
     return cube(s, d, [COARSE], 4).filter(F.size("tag_parts") > 1).select(*CELLS, "tag_key", "cnt")
 
 
+@_q("heatmap_tag_counts_multires")
+def _(s, d):
+    return cube(s, d, GRIDS, 1).filter("tag_key <> ''").select("resolution", *CELLS, "tag_key", "cnt")
+
+
+@_q("heatmap_combo_counts_multires")
+def _(s, d):
+    return cube(s, d, GRIDS, 4).filter(F.size("tag_parts") > 1).select("resolution", *CELLS, "tag_key", "cnt")
+
+
 @_q("combo_top10")
 def _(s, d):
     return C.top_combinations(cube(s, d, [COARSE], 4))
@@ -461,6 +471,8 @@ SQL: dict[str, str] = {
     "heatmap_dense_cells": _coarse(0, f", b as (select k.slice_key, k.record_type, g.row, g.col, g.cell_idx, coalesce(c.cnt, 0)::bigint as cnt from (select distinct slice_key, record_type from c) k cross join ({_bounds_sql(COARSE)}) g left join c using (slice_key, record_type, row, col)) select *, {_DENSITY} as density from b"),
     "heatmap_tag_counts": f"with {_RAW}, {_placed_sql(COARSE)} select {_BASE_COLS}, t as tag_key, count(*)::bigint as cnt from (select *, unnest(tags) as t from p) group by all",
     "heatmap_combo_counts": _coarse(4, f"select {_BASE_COLS}, tag_key, cnt from c where np > 1"),
+    "heatmap_tag_counts_multires": " union all ".join(f"select '{g.name}' as resolution, x.* from (with {_RAW}, {_cube_sql(g, 1)} select {_BASE_COLS}, tag_key, cnt from c where np = 1) x" for g in GRIDS),
+    "heatmap_combo_counts_multires": " union all ".join(f"select '{g.name}' as resolution, x.* from (with {_RAW}, {_cube_sql(g, 4)} select {_BASE_COLS}, tag_key, cnt from c where np > 1) x" for g in GRIDS),
     "combo_top10": _coarse(4, "select tag_key, sum(cnt)::bigint as cnt from c where np > 1 group by 1 order by cnt desc, tag_key limit 10"),
     "histogram_base": _coarse(0, f"select record_type, slice_key, cnt from ({_bins('true')})"),
     "histogram_tags": _coarse(1, ", top as (select t as tag_key from (select unnest(tags) as t from f) group by 1 order by count(*) desc, t limit 5) select record_type, tag_key, slice_key, coalesce(n, 0)::bigint as cnt from (select distinct record_type from c) cross join top cross join sl left join (select record_type, tag_key, slice_key, sum(cnt) as n from c where np = 1 group by all) using (record_type, tag_key, slice_key)"),

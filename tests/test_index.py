@@ -93,3 +93,9 @@ def test_histograms_of_the_first_tags(spark):
     assert 5 < len(tags) <= 20
     assert {r.tag_key for r in catalogue.QUERIES["histogram_tags_first"](spark, SF).collect()} == tags
     test_query_equals_its_sql(spark, "histogram_tags_first")
+
+
+@pytest.mark.parametrize("name", ["heatmap_tag_counts_multires", "heatmap_combo_counts_multires"])
+def test_tag_maps_on_every_grid(spark, name):
+    assert {r.resolution for r in catalogue.QUERIES[name](spark, SF).select("resolution").distinct().collect()} == {g.name for g in GRIDS}
+    test_query_equals_its_sql(spark, name)
