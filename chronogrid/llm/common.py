@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
+import os
 import sys
+import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,20 +34,66 @@ def id_text(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a local one where it is unset (tests)."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints").rstrip("/")
+    """The folder all executors share: spark.checkpoint.dir; in local mode, where it is unset, a temporary one."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        found = os.path.join(tempfile.gettempdir(), "checkpoints")
+    return found.rstrip("/")
 
 
 def materialize(df: DataFrame) -> DataFrame:
     """Cut lineage: write df as a table in the shared folder and read it back.
 
     Lost executors then cost a re-read, not a recomputation. The tables lie under
-    <spark.checkpoint.dir>/chronogrid and can go once the query's result is written.
+    <spark.checkpoint.dir>/chronogrid; those an operator needs no longer it discards, the others
+    can go once the query's result is written.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/chronogrid/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of `materialize` that nothing reads any more."""
+    for df in tables:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df.written_to)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def release() -> None:
+    """Hand free memory back to the system: workers live on between stages, beside the JVM's own."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def lean(run: Callable) -> Callable:
+    """`run` over Arrow batches, with its memory released at the end of the task."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        release()
+
+    return task
+
+
+def lean_group(settle: Callable) -> Callable:
+    """`settle` of one group, with its memory released."""
+
+    def task(t: pa.Table) -> pa.Table:
+        out = settle(t)
+        release()
+        return out
+
+    return task
 
 
 def distinct_ids(docs: DataFrame) -> DataFrame:

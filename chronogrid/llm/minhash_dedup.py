@@ -11,13 +11,15 @@ each band; confirmed links are joined to components. In buckets that still hold
 components, members are tried with a second lead, the one whose shingles are most common there.
 Those still apart from it meet others only through a shingle that both have among their rarest
 (prefix filter: a linked pair always has one), so members of a large group that lie just below
-the threshold, each by words of its own, do not meet at all. Shingles are ordered by a table of
-counts of fixed size; any order gives the same links. Nothing is capped.
-
-With 24 bands of 4 samples a pair at similarity 0.85 shares no bucket with probability
-(1 - 0.85^4)^24 = 2e-8; the sketch test allows six standard deviations and refuses a pair
-right at the threshold with probability 1.4e-8 at 0.85, 2.9e-8 at 0.80. No later step retries a
-pair refused after the prefix filter, so what is said of it above holds up to these two.
+the threshold, each by words of its own, do not meet at all. Shingles are ordered by how many
+open nodes have them, counted exactly but for hash collisions; any order gives the same links.
+Nothing is capped.
+
+With 40 bands of 6 samples a pair shares no bucket with probability (1 - s^6)^40: 6e-9 at
+similarity s = 0.85, 5e-6 at 0.80, less above. The sketch test allows six standard deviations
+and refuses a pair right at the threshold with probability 1.4e-8 at 0.85, 2.9e-8 at 0.80. No
+later step retries a pair refused after the prefix filter, so what is said of it above holds up
+to these two.
 """
 
 from __future__ import annotations
@@ -31,17 +33,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import by_value, distinct_ids, materialize, table
+from .common import by_value, discard, distinct_ids, lean, materialize, shuffle_partitions, table
+from .repeats import MESSAGE, Often, answers, ask, batch_numbers, bucket_bits
 from .tokens import small_batches
-from .windows import Words, byte_slices, grams, mix
+from .windows import Words, grams, mix, text_slices
 
 _LAST = 2**63 - 1
 _LONGS = 16
 SKETCH = 64 * _LONGS
-#: Cells of the table of shingle counts: 8 MB, whatever the input.
-CELLS = 2**21
 #: Sizes of sets are in classes, each this many times the one before.
-_RATIO = 1.02
+_RATIO = 1.05
 
 
 def _family(samples: int) -> tuple[np.ndarray, np.ndarray]:
@@ -99,7 +100,7 @@ def prefix_lengths(n: int, percent: int) -> list[tuple[int, int, bool]]:
 
 
 def _components(edges: DataFrame) -> DataFrame:
-    """(_node, _root) of every node of an edge, by alternating large and small stars on written tables."""
+    """(_node, _root: the least node linked to it) of every node of an edge, as a written table, by alternating large and small stars on written tables."""
     now = materialize(edges.select("_a", "_b").distinct())
     before = None
     while True:
@@ -109,17 +110,20 @@ def _components(edges: DataFrame) -> DataFrame:
         down = large.filter("_a != _b").distinct()
         small = down.groupBy("_a").agg(F.min("_b").alias("_m"))
         joined = down.join(small, "_a")
-        after = joined.select(F.col("_b").alias("_a"), F.col("_m").alias("_b")).unionByName(small.select("_a", F.col("_m").alias("_b"))).filter("_a != _b").distinct()
-        now = materialize(after)
+        after = materialize(joined.select(F.col("_b").alias("_a"), F.col("_m").alias("_b")).unionByName(small.select("_a", F.col("_m").alias("_b"))).filter("_a != _b").distinct())
+        discard(now)
+        now = after
         state = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("_a", "_b").cast("decimal(38,0)"))).first()
         if state == before:
             break
         before = state
     roots = now.select(F.col("_a").alias("_node"), F.col("_b").alias("_root"))
-    return roots.unionByName(now.select(F.col("_b").alias("_node"), F.col("_b").alias("_root")).distinct())
+    out = materialize(roots.unionByName(now.select(F.col("_b").alias("_node"), F.col("_b").alias("_root")).distinct()))
+    discard(now)
+    return out
 
 
-def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, bands: int = 24, rows: int = 4, samples: int = 256) -> DataFrame:
+def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, bands: int = 40, rows: int = 6, samples: int = 256) -> DataFrame:
     """One row per input row: <id_col>, n_shingles, component_id, kept.
 
     A text's set holds its distinct runs of `shingle` words, lower-cased A-Z, or its words as
@@ -156,9 +160,9 @@ def _groups(rows_of: DataFrame, shingle: int, percent: int, bands: int, rows: in
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, texts = batch.column(0), batch.column(1).cast(pa.binary()).to_pylist()
-            for x, y in byte_slices(texts):
-                low = [t.lower() for t in texts[x:y]]
+            ids = batch.column(0)
+            for x, y, texts in text_slices(batch.column(1)):
+                low = [t.lower() for t in texts]
                 w = Words(low)
                 h = w.hashes()
                 g = grams(h, shingle)
@@ -173,7 +177,7 @@ def _groups(rows_of: DataFrame, shingle: int, percent: int, bands: int, rows: in
                     sizes.append(len(found))
                     own.append(signature(found, a, b))
                 sig = np.stack(own) if own else np.zeros((0, samples), np.uint64)
-                keys = np.stack([grams(sig[:, j * rows : (j + 1) * rows].ravel(), rows)[::rows] if len(sig) else np.zeros(0, np.uint64) for j in range(bands)], 1).view(np.int64)
+                keys = np.stack([mix(grams(sig[:, j * rows : (j + 1) * rows].ravel(), rows)[::rows] + np.uint64(j)) if len(sig) else np.zeros(0, np.uint64) for j in range(bands)], 1).view(np.int64)
                 odd = odd_sketch(sig) if len(sig) else np.zeros((0, _LONGS), np.int64)
                 row, bs, os = 0, [], []
                 for n in sizes:
@@ -182,137 +186,173 @@ def _groups(rows_of: DataFrame, shingle: int, percent: int, bands: int, rows: in
                     row += n > 0
                 yield pa.record_batch([ids[x:y], pa.array(names, pa.binary()), pa.array(sizes, pa.int64()), pa.array(bs, pa.list_(pa.int64())), pa.array(os, pa.list_(pa.int64()))], names=["_id", "_node", "_n", "_bands", "_odd"])
 
-    sketched = materialize(docs.mapInArrow(sketch, "_id long, _node binary, _n long, _bands array<long>, _odd array<long>"))
-    nodes = materialize(sketched.filter("_n > 0").groupBy("_node").agg(F.min("_id").alias("_rep"), F.first("_bands").alias("_bands"), F.first("_odd").alias("_odd")))
-    spots = nodes.select("_node", "_rep", F.posexplode("_bands").alias("_band", "_key"))
-    buckets = spots.groupBy("_band", "_key").agg(F.min(F.struct(F.xxhash64("_node", "_band").alias("_h"), "_node")).alias("_lead"), F.count(F.lit(1)).alias("_c")).filter("_c > 1")
+    sketched = materialize(docs.mapInArrow(lean(sketch), "_id long, _node binary, _n long, _bands array<long>, _odd array<long>"))
+    # A node goes by its least _id, which then also names its component.
+    reps = materialize(sketched.filter("_n > 0").groupBy("_node").agg(F.min("_id").alias("_rep")))
+    nodes = sketched.join(reps.select(F.col("_rep").alias("_id")), "_id", "left_semi").select(F.col("_id").alias("_node"), "_bands", "_odd")
+    spots = nodes.select("_node", F.explode("_bands").alias("_key")).repartition(F.col("_key"))
+    # A bucket's lead is the node that comes first in an order of the bucket's own.
+    own = F.xxhash64("_key")
+    buckets = spots.groupBy("_key").agg(F.min(F.col("_node").bitwiseXOR(own)).alias("_first"), F.count(F.lit(1)).alias("_c")).filter("_c > 1")
+    full = materialize(spots.join(buckets, "_key").select("_key", "_node", F.col("_first").bitwiseXOR(own).alias("_lead")))
+    odd = materialize(nodes.join(full.select("_node").distinct(), "_node", "left_semi").select("_node", "_odd"))
     limit = most_bits(samples, percent / 100)
 
-    def near(one: list[Column], two: list[Column]) -> Column:
-        return sum((F.bit_count(x.bitwiseXOR(y)) for x, y in zip(one, two)), F.lit(0)) <= limit
-
-    ends = lambda d, s: d.select(F.col("_node").alias(f"_{s}"), F.col("_rep").alias(f"_{s}_rep"), *[F.col("_odd")[i].alias(f"_{s}{i}") for i in range(_LONGS)])
-    star = spots.select("_node", "_band", "_key").join(buckets.select("_band", "_key", F.col("_lead._node").alias("_a")), ["_band", "_key"]).filter("_a != _node").select(F.least("_a", "_node").alias("_a"), F.greatest("_a", "_node").alias("_b")).distinct()
-
     def plausible(pairs: DataFrame) -> DataFrame:
-        """The pairs (_a, _b) whose sketches allow the threshold, with their _a_rep and _b_rep."""
-        full = pairs.join(ends(nodes, "a"), "_a").join(ends(nodes, "b"), "_b")
-        return full.filter(near([F.col(f"_a{i}") for i in range(_LONGS)], [F.col(f"_b{i}") for i in range(_LONGS)])).select("_a", "_a_rep", "_b", "_b_rep")
+        """The distinct pairs (_a, _b) whose sketches allow the threshold, as a written table."""
+        side = lambda s: odd.select(F.col("_node").alias(f"_{s}"), F.col("_odd").alias(f"_{s}_odd"))
+        differ = sum((F.bit_count(F.col("_a_odd")[i].bitwiseXOR(F.col("_b_odd")[i])) for i in range(_LONGS)), F.lit(0))
+        ordered = pairs.select(F.least(*pairs.columns).alias("_a"), F.greatest(*pairs.columns).alias("_b")).filter("_a != _b").distinct()
+        return materialize(ordered.join(side("a"), "_a").join(side("b"), "_b").filter(differ <= limit).select("_a", "_b"))
 
-    star = plausible(star)
+    def texts_of(ids: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """(texts of the nodes in column _id, the written ids): a small table of ids, as the planner sees by its size, spares the shuffle of all texts."""
+        ids = materialize(ids.distinct())
+        return docs.join(ids, "_id", "left_semi"), ids
 
     def confirmed(pairs: DataFrame) -> DataFrame:
-        """The pairs whose full sets are similar enough; a text that isn't its node's (an id repeated) is passed over."""
+        """The pairs whose full sets are similar enough, as a written table; `pairs` is discarded."""
 
         def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            def shingles(text: bytes) -> tuple[bytes, set]:
+            def shingles(text: bytes) -> set:
                 w = text.lower().split()
-                return hashlib.blake2b(b" ".join(w), digest_size=16).digest(), set(zip(*(w[i:] for i in range(shingle)))) if len(w) >= shingle else {tuple(w)}
+                return set(zip(*(w[i:] for i in range(shingle)))) if len(w) >= shingle else {tuple(w)}
 
             for batch in batches:
-                left, right = [], []
-                one, two = batch.column(2).cast(pa.binary()).to_pylist(), batch.column(3).cast(pa.binary()).to_pylist()
-                last, had = None, None
-                for x, y, s, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), one, two):
-                    if s != last:
-                        last, had = s, shingles(s)
-                    other = shingles(t)
-                    both = len(had[1] & other[1])
-                    if had[0] == x and other[0] == y and 100 * both >= percent * (len(had[1]) + len(other[1]) - both):
-                        left.append(x)
-                        right.append(y)
-                yield pa.record_batch([pa.array(left, pa.binary()), pa.array(right, pa.binary())], names=["_a", "_b"])
-
-        texts = lambda s: docs.select(F.col("_id").alias(f"_{s}_rep"), F.col("_text").alias(f"_{s}_text"))
-        full = pairs.join(texts("a"), "_a_rep").join(texts("b"), "_b_rep")
-        return full.select("_a", "_b", "_a_text", "_b_text").mapInArrow(check, "_a binary, _b binary")
-
-    links = materialize(confirmed(star))
-    roots = materialize(_components(links))
+                last, had, near = None, None, []
+                for x, y, one in text_slices(batch.column(2)):
+                    for i, s, t in zip(range(x, y), one, batch.column(3)[x:y].cast(pa.binary()).to_pylist()):
+                        if s != last:
+                            last, had = s, shingles(s)
+                        other = shingles(t)
+                        both = len(had & other)
+                        if 100 * both >= percent * (len(had) + len(other) - both):
+                            near.append(i)
+                yield pa.record_batch([batch.column(c).take(pa.array(near, pa.int64())) for c in (0, 1)], names=["_a", "_b"])
+
+        texts, ids = texts_of(pairs.select(F.explode(F.array("_a", "_b")).alias("_id")))
+        side = lambda s: texts.select(F.col("_id").alias(f"_{s}"), F.col("_text").alias(f"_{s}_text"))
+        both = pairs.join(side("a"), "_a").join(side("b"), "_b")
+        out = materialize(both.select("_a", "_b", "_a_text", "_b_text").mapInArrow(lean(check), "_a long, _b long"))
+        discard(pairs, ids)
+        return out
+
+    links = confirmed(plausible(full.select("_lead", "_node")))
+    roots = _components(links)
     rooted = lambda d, c, r: d.join(roots.select(F.col("_node").alias(c), F.col("_root").alias(r)), c, "left").withColumn(r, F.coalesce(r, c))
     # Buckets that still hold several components.
-    placed = rooted(spots.select("_node", "_rep", "_band", "_key").join(buckets.select("_band", "_key"), ["_band", "_key"]), "_node", "_root")
-    split = placed.groupBy("_band", "_key").agg(F.min("_root").alias("_x"), F.max("_root").alias("_y")).filter("_x != _y").select("_band", "_key")
-    members = materialize(placed.join(split, ["_band", "_key"]).select("_band", "_key", "_node", "_rep"))
-    open_texts = members.select("_node", "_rep").distinct().join(docs.select(F.col("_id").alias("_rep"), "_text"), "_rep").select("_node", "_text")
-    open_texts = materialize(open_texts)
-
-    def sets(batch: pa.RecordBatch) -> Iterator[tuple[bytes, np.ndarray]]:
-        """Shingle hashes of each node; a text that isn't its node's (an id repeated) is passed over."""
-        names, texts = batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist()
-        for x, y in byte_slices(texts):
-            low = [t.lower() for t in texts[x:y]]
-            w = Words(low)
-            h = w.hashes()
-            g = grams(h, shingle)
-            for i, (s, e) in enumerate(zip(w.first[:-1].tolist(), w.first[1:].tolist())):
-                if hashlib.blake2b(b" ".join(low[i].split()), digest_size=16).digest() == names[x + i]:
-                    yield names[x + i], np.unique(g[s : e - shingle + 1]) if e - s >= shingle else grams(h[s:e], e - s)
-
-    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [g for _, g in sets(batch)]
-            if found:
-                cell, n = np.unique(np.concatenate(found) % np.uint64(CELLS), return_counts=True)
-                yield pa.record_batch([pa.array(cell.astype(np.int32)), pa.array(n.astype(np.int64))], names=["_cell", "_c"])
-
-    counted = open_texts.mapInArrow(tally, "_cell int, _c long").groupBy("_cell").agg(F.least(F.sum("_c"), F.lit(2**31 - 1)).cast("int").alias("_c")).toArrow()
-    often = np.zeros(CELLS, np.int32)
-    often[counted["_cell"].to_numpy()] = counted["_c"].to_numpy()
-
-    def central(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [(name, float(np.log(often[g % np.uint64(CELLS)]).mean())) for name, g in sets(batch)]
-            yield pa.record_batch([pa.array([x for x, _ in found], pa.binary()), pa.array([x for _, x in found], pa.float64())], names=["_node", "_mid"])
-
+    placed = rooted(full.select("_key", "_node"), "_node", "_root")
+    split = placed.groupBy("_key").agg(F.min("_root").alias("_x"), F.max("_root").alias("_y")).filter("_x != _y").select("_key")
+    members = materialize(placed.join(split, "_key").select("_key", "_node"))
+    texts, ids = texts_of(members.select(F.col("_node").alias("_id")))
+    ranked = _ranked(texts.select(F.col("_id").alias("_node"), "_text"), shingle, percent)
     # A second lead: the member whose shingles the others have most often.
-    mid = materialize(open_texts.mapInArrow(central, "_node binary, _mid double").distinct())
-    leads = members.join(mid, "_node").groupBy("_band", "_key").agg(F.max(F.struct("_mid", "_node"))["_node"].alias("_lead"))
-    members = materialize(members.join(leads, ["_band", "_key"]))
-    second = rooted(rooted(members.select("_node", "_lead").distinct(), "_node", "_root"), "_lead", "_lead_root").filter("_root != _lead_root")
-    second = second.select(F.least("_lead", "_node").alias("_a"), F.greatest("_lead", "_node").alias("_b")).distinct()
-    more = materialize(confirmed(plausible(second)))
-    if more.head(1):
-        links = links.unionByName(more)
-        roots = materialize(_components(links))
+    leads = members.join(ranked.select("_node", "_mid"), "_node").groupBy("_key").agg(F.max_by("_node", F.struct("_mid", "_node")).alias("_lead"))
+    led = materialize(members.join(leads, "_key").select("_node", "_lead").distinct())
+    discard(full, members, ids)
+    second = rooted(rooted(led, "_node", "_root"), "_lead", "_lead_root").filter("_root != _lead_root")
+    links, roots = _joined(links, confirmed(plausible(second.select("_lead", "_node"))), roots)
     # The rest exactly: members apart from their second lead, by the prefixes of their rarest shingles.
-    apart = rooted(rooted(members.select("_node", "_lead"), "_node", "_root"), "_lead", "_lead_root").groupBy("_node", "_root").agg(F.max(F.col("_root") != F.col("_lead_root")).alias("_apart"))
-    tags = apart.select("_node", F.xxhash64("_root").alias("_root"), "_apart")
+    apart = rooted(rooted(led, "_node", "_root"), "_lead", "_lead_root").groupBy("_node", "_root").agg(F.max(F.col("_root") != F.col("_lead_root")).alias("_apart"))
+    tagged = ranked.select("_node", "_n", "_alone", "_rare").join(apart, "_node").select("_node", "_n", "_alone", "_rare", "_root", "_apart")
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            names, keys, small, places, sizes = [], [], [], [], []
-            for name, g in sets(batch):
-                n = len(g)
-                count = often[g % np.uint64(CELLS)]
-                by = np.lexsort((g, count))
-                g, count = g[by], count[by]
-                for c, reach, is_small in prefix_lengths(n, percent):
-                    at = np.flatnonzero(count[:reach] > 1)
-                    keys.append(mix(g[at] + np.uint64(c) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64))
-                    places.append(at.astype(np.int32))
-                    names += [name] * len(at)
-                    small.append(np.full(len(at), is_small))
-                    sizes.append(np.full(len(at), n, np.int32))
-            if names:
-                yield pa.record_batch([pa.array(names, pa.binary()), pa.array(np.concatenate(keys)), pa.array(np.concatenate(small)), pa.array(np.concatenate(places)), pa.array(np.concatenate(sizes))], names=["_node", "_k", "_small", "_p", "_size"])
-
-    entries = materialize(open_texts.mapInArrow(prefixes, "_node binary, _k long, _small boolean, _p int, _size int").join(tags, "_node"))
+            names, n, alone, rare, root, far = [batch.column(c).to_pylist() for c in range(6)]
+            who, keys, small, places = [], [], [], []
+            for i in range(len(names)):
+                g = np.frombuffer(rare[i], "<u8")
+                for c, reach, is_small in prefix_lengths(n[i], percent):
+                    m = max(0, reach - alone[i])
+                    if m:
+                        keys.append(mix(g[:m] + np.uint64(c * 0x9E3779B97F4A7C15 % 2**64)).view(np.int64))
+                        places.append(np.arange(alone[i], alone[i] + m, dtype=np.int32))
+                        who.append(np.full(m, i))
+                        small.append(np.full(m, is_small))
+            if who:
+                at = pa.array(np.concatenate(who))
+                took = [batch.column(c).take(at) for c in (0, 4, 5, 1)]
+                yield pa.record_batch([*took, pa.array(np.concatenate(keys)), pa.array(np.concatenate(small)), pa.array(np.concatenate(places))], names=["_node", "_root", "_apart", "_size", "_k", "_small", "_p"])
+
+    entries = materialize(tagged.mapInArrow(lean(prefixes), "_node long, _root long, _apart boolean, _size int, _k long, _small boolean, _p int"))
+    # Keys within one component link nothing new.
+    across = entries.groupBy("_k").agg(F.min("_root").alias("_x"), F.max("_root").alias("_y")).filter("_x != _y").select("_k")
+    met_by = entries.join(across, "_k", "left_semi")
     side = lambda d, s: d.select("_k", *[F.col(c).alias(f"{c}_{s}") for c in ("_node", "_root", "_apart", "_p", "_size")])
-    shorter, longer = side(entries.filter("_small"), "s"), side(entries.filter("not _small"), "l")
+    shorter, longer = side(met_by.filter("_small"), "s"), side(met_by.filter("not _small"), "l")
     test = F.expr(f"_root_s != _root_l and {100 + percent} * least(_size_s - _p_s, _size_l - _p_l) >= {percent} * (_size_s + _size_l)")
     met = [x.join(y, "_k").filter(test).select("_node_s", "_node_l") for x, y in ((shorter.filter("_apart_s"), longer), (shorter.filter("not _apart_s"), longer.filter("_apart_l")))]
-    late = met[0].unionByName(met[1]).select(F.least("_node_s", "_node_l").alias("_a"), F.greatest("_node_s", "_node_l").alias("_b")).distinct()
-    more = materialize(confirmed(plausible(late)))
-    if more.head(1):
-        roots = materialize(_components(links.unionByName(more)))
-    least = nodes.select("_node", "_rep").join(roots, "_node").groupBy("_root").agg(F.min("_rep").alias("_least"))
-    whole = nodes.select("_node", "_rep").join(roots, "_node", "left").join(least, "_root", "left").select("_node", F.coalesce("_least", "_rep").alias("_component"))
+    late = met[0].unionByName(met[1])
+    links, roots = _joined(links, confirmed(plausible(late)), roots)
+    discard(links, led, ranked, entries, odd)
+    whole = reps.join(roots, reps["_rep"] == roots["_node"], "left").select(reps["_node"], F.coalesce("_root", "_rep").alias("_component"))
     out = sketched.select("_id", "_node", "_n").join(whole, "_node", "left").withColumn("_component", F.coalesce("_component", "_id"))
     return out.select("_id", "_n", "_component")
 
 
-def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, bands: int = 24, rows: int = 4, samples: int = 256) -> DataFrame:
+def _joined(links: DataFrame, more: DataFrame, roots: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Links with further ones, and the components of all; written tables that are replaced are discarded."""
+    if more.isEmpty():
+        discard(more)
+        return links, roots
+    both = materialize(links.unionByName(more))
+    discard(links, more, roots)
+    return both, _components(both)
+
+
+def _ranked(texts: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """The shingles of open nodes in common order, rarest first, as a written table.
+
+    (_node, _n: how many, _alone: how many no other open node has, _mid: mean logarithm of how
+    many have them, _rare: those after the lone ones as far as any prefix reaches, uint64.)
+    Lone shingles come first and meet nobody, so they aren't kept.
+    """
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = batch_numbers()
+        for batch in batches:
+            for x, y, slice_texts in text_slices(batch.column(1)):
+                w = Words([t.lower() for t in slice_texts])
+                h = w.hashes()
+                g = grams(h, shingle)
+                sets = [np.unique(g[s : e - shingle + 1]) if e - s >= shingle else grams(h[s:e], e - s) for s, e in zip(w.first[:-1].tolist(), w.first[1:].tolist())]
+                blob = np.concatenate(sets).astype("<u8").tobytes()
+                yield pa.record_batch([pa.array([next(number)], pa.int64()), pa.array([batch.column(0)[x:y].to_pylist()], pa.list_(pa.int64())), pa.array([list(map(len, sets))], pa.list_(pa.int32())), pa.array([blob], pa.binary())], names=["_batch", "_nodes", "_sizes", "_sets"])
+
+    packed = materialize(texts.mapInArrow(lean(pack), "_batch long, _nodes array<long>, _sizes array<int>, _sets binary"))
+    size = packed.agg(F.sum(F.aggregate("_sizes", F.lit(0).cast("long"), lambda a, x: a + x))).first()[0] or 0
+    bits = bucket_bits(size, shuffle_partitions(texts.sparkSession))
+
+    def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for number, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                yield ask(number, np.frombuffer(blob, "<u8"), bits)
+
+    def rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(len(batch)):
+                names, sizes, blob, often = [batch.column(c)[i].as_py() for c in range(4)]
+                g = np.frombuffer(blob, "<u8")
+                count = Often(often, bits).of(g)
+                by = np.lexsort((g, count, np.repeat(np.arange(len(sizes)), sizes)))
+                g, count = g[by], count[by]
+                alone, mid, rare, at = [], [], [], 0
+                for n in sizes:
+                    own = count[at : at + n]
+                    one = int(np.searchsorted(own, 2))
+                    alone.append(one)
+                    mid.append(float(np.log(own).mean()))
+                    rare.append(g[at + one : at + max(one, max(r for _, r, _ in prefix_lengths(n, percent)))].tobytes())
+                    at += n
+                yield pa.record_batch([pa.array(names, pa.int64()), pa.array(sizes, pa.int32()), pa.array(alone, pa.int32()), pa.array(mid, pa.float64()), pa.array(rare, pa.binary())], names=["_node", "_n", "_alone", "_mid", "_rare"])
+
+    found = packed.join(answers(packed.select("_batch", "_sets").mapInArrow(lean(asked), MESSAGE)), "_batch", "left").select("_nodes", "_sizes", "_sets", "_often")
+    out = materialize(found.mapInArrow(lean(rank), "_node long, _n int, _alone int, _mid double, _rare binary"))
+    discard(packed)
+    return out
+
+
+def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, bands: int = 40, rows: int = 6, samples: int = 256) -> DataFrame:
     """One row of each group, the one near_groups keeps, with all its columns."""
     docs = distinct_ids(_documents(df, id_col, text_col))
     kept = _groups(docs, shingle, percent, bands, rows, samples).filter("_id = _component").select("_id")

@@ -66,13 +66,13 @@ class Vocabulary:
 class Encoder:
     """Encodes lists of texts.
 
-    `encode_many(texts)` gives the ids of texts without special tokens (flat, and how many each);
+    Distinct chunks are joined to texts of about `joined` bytes. `encode_many(texts)` gives the ids of texts without special tokens (flat, and how many each);
     it is called for the distinct chunks of a list, written one after the other, and for what
     doesn't fall into chunks.
     """
 
-    def __init__(self, vocab: Vocabulary, encode_many):
-        self.vocab, self.encode_many = vocab, encode_many
+    def __init__(self, vocab: Vocabulary, encode_many, joined: int = 300_000):
+        self.vocab, self.encode_many, self.joined = vocab, encode_many, joined
         self.size = np.fromiter(map(len, vocab.bytes), np.int64, len(vocab.bytes))
 
     def chunks(self, distinct: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -82,9 +82,11 @@ class Encoder:
         sizes = np.zeros(len(distinct), np.int64)
         parts: list[tuple[np.ndarray, np.ndarray]] = []
         if len(some):
-            row = pa.ListArray.from_arrays(pa.array([0, len(some)], pa.int32()), some)
-            flat, _ = self.encode_many([" " + pc.binary_join(row, " ")[0].as_py()])
             ends = np.cumsum(pc.binary_length(some).to_numpy(zero_copy_only=False).astype(np.int64) + 1)
+            cuts = np.unique(np.searchsorted(ends, np.arange(0, int(ends[-1]), self.joined))[1:] + 1)
+            cuts = np.concatenate([[0], cuts[cuts < len(some)], [len(some)]])
+            rows = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), some)
+            flat, _ = self.encode_many([" " + x for x in pc.binary_join(rows, " ").to_pylist()])
             upto = np.searchsorted(np.cumsum(self.size[flat]), ends) + 1
             sizes[~alone] = np.diff(upto, prepend=0)
             parts.append((np.flatnonzero(~alone), flat))
@@ -165,7 +167,7 @@ def spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.repeat(starts - to, sizes) + np.arange(int(sizes.sum()))
 
 
-def slices(texts: list[str], most: int = 16_000_000):
+def slices(texts: list[str], most: int = 8_000_000):
     """Ranges of rows with about `most` characters each; a longer text stands alone."""
     at, size = 0, 0
     for i, t in enumerate(texts):
@@ -177,10 +179,14 @@ def slices(texts: list[str], most: int = 16_000_000):
         yield at, len(texts)
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Arrow batches of 2000 rows keep a Python worker's memory low with long texts."""
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > 2000:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+def small_batches(spark: SparkSession, most: int = 8 * 2**20) -> None:
+    """Arrow batches of at most `most` bytes, so that long texts don't fill a Python worker; a smaller limit of the session stays.
+
+    The limit is read when a plan is made, at the latest with the query's action, so it can't be put back here.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark._jsparkSession.sessionState().conf().arrowMaxBytesPerBatch() > most:
+        spark.conf.set(key, str(most))
 
 
 by_value(__name__)

@@ -3,9 +3,14 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 
 from .common import by_value
 
+#: Words longer than this are hashed one by one.
+_LONG = 64
 _BASE, _STEP = 0x9E3779B97F4A7C15 | 1, 0xC2B2AE3D27D4EB4F | 1
 LUT = np.zeros(256, bool)
 LUT[[32, 9, 10, 11, 12, 13]] = True
@@ -62,7 +67,25 @@ class Words:
         self.first = np.searchsorted(self.starts, np.concatenate([self.offsets, [len(self.buffer) + 1]]))
 
     def hashes(self) -> np.ndarray:
-        return between(sums(self.buffer.astype(np.uint64) + np.uint64(1), _BASE), self.starts, self.ends, _BASE)
+        """Hash of each word: eight bytes at a time through a bijective mixer, long words by XXH3.
+
+        No two words of the same length up to eight bytes are equal in it, and no algebraic
+        pattern of letters cancels, as it does in a polynomial modulo 2^64.
+        """
+        n = self.ends - self.starts
+        out = mix(n.astype(np.uint64) * np.uint64(_BASE))
+        bytes_at = np.lib.stride_tricks.as_strided(np.concatenate([self.buffer, np.zeros(8, np.uint8)]).view(np.uint8), (len(self.buffer) + 1, 8), (1, 1))
+        live, done = np.arange(len(n)), 0
+        while len(live) and done < _LONG:
+            left = n[live] - done
+            chunk = np.ascontiguousarray(bytes_at[self.starts[live] + done]).view("<u8").ravel()
+            short = np.minimum(left, 8).astype(np.uint64) * np.uint64(8)
+            chunk = np.where(left < 8, chunk & ((np.uint64(1) << (short & np.uint64(63))) - np.uint64(1)), chunk)
+            out[live] = mix(out[live] ^ chunk)
+            live, done = live[left > 8], done + 8
+        for i in live.tolist():
+            out[i] = xxhash.xxh3_64_intdigest(self.raw[self.starts[i] : self.ends[i]])
+        return out
 
 
 def argmin(values: np.ndarray, m: int) -> np.ndarray:
@@ -122,6 +145,64 @@ def byte_slices(texts: list[bytes], most: int = 3_000_000):
         yield at, len(texts)
 
 
+def row_slices(column: pa.Array, most: int = 3_000_000):
+    """Ranges of rows of a column of texts with about `most` bytes each; a longer text stands alone."""
+    sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    ends = np.concatenate([[0], np.cumsum(sizes)])
+    a = 0
+    while a < len(sizes):
+        b = max(a + 1, int(np.searchsorted(ends, ends[a] + most, "right")) - 1)
+        yield a, b
+        a = b
+
+
+def text_slices(column: pa.Array, most: int = 3_000_000):
+    """(a, b, texts a to b as bytes): only one slice at a time is held as Python objects, however large the batch."""
+    column = column.cast(pa.binary())
+    for a, b in row_slices(column, most):
+        yield a, b, column[a:b].to_pylist()
+
+
+def equal_stretches(data: np.ndarray, x: np.ndarray, y: np.ndarray, n: np.ndarray, most: int = 4_000_000) -> np.ndarray:
+    """Whether data[x : x + n] equals data[y : y + n], for each of many stretches, byte by byte."""
+    out = np.ones(len(x), bool)
+    upto = np.cumsum(n)
+    a = 0
+    while a < len(x):
+        b = max(a + 1, int(np.searchsorted(upto, (upto[a - 1] if a else 0) + most, "right")))
+        one, two = spread(x[a:b], n[a:b]), spread(y[a:b], n[a:b])
+        wrong = np.flatnonzero(data[one] != data[two])
+        if len(wrong):
+            out[a + np.searchsorted(np.cumsum(n[a:b]), wrong, "right")] = False
+        a = b
+    return out
+
+
+def verified(data: np.ndarray, at: np.ndarray, like: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Whether window at[i] has the same bytes as window like[i]; window w covers data[begin[w] : end[w]].
+
+    Windows follow each other in runs, and so do their partners: each run is compared once.
+    """
+    by = np.argsort(at, kind="stable")
+    p, q = at[by], like[by]
+    if not len(p):
+        return np.zeros(0, bool)
+    new = (p[1:] != p[:-1] + 1) | (q[1:] != q[:-1] + 1)
+    for w in (p, q):  # no gaps, nothing out of order
+        new |= (begin[w[1:]] < begin[w[:-1]]) | (end[w[1:]] < end[w[:-1]]) | (begin[w[1:]] > end[w[:-1]] + 1)
+    head = np.flatnonzero(np.concatenate([[True], new]))
+    last = np.concatenate([head[1:], [len(p)]]) - 1
+    n, m = end[p[last]] - begin[p[head]], end[q[last]] - begin[q[head]]
+    good = n == m
+    good[good] = equal_stretches(data, begin[p[head]][good], begin[q[head]][good], n[good])
+    each = np.repeat(good, np.diff(np.concatenate([head, [len(p)]])))
+    for i in np.flatnonzero(~each).tolist():  # a run that differs somewhere: window by window
+        each[i] = bytes(data[begin[p[i]] : end[p[i]]]) == bytes(data[begin[q[i]] : end[q[i]]])
+    out = np.empty(len(at), bool)
+    out[by] = each
+    return out
+
+
 #: Starts s, s + 1, ... s + n - 1 of a document.
 RUN = np.dtype([("d", "<i8"), ("s", "<i4"), ("n", "<i4")])
 
