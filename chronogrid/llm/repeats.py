@@ -35,6 +35,11 @@ def batch_numbers() -> Iterator[int]:
         first += 1
 
 
+def bucket_of(batch: int, bits: int) -> int:
+    """A range for what concerns one batch alone, spread evenly over all of them."""
+    return (batch + (batch >> 32)) % 2**bits
+
+
 def split(codes: np.ndarray, parts: list[np.ndarray]) -> tuple[list[int], list[bytes]]:
     """(bucket, blob of the parts one after the other) of sorted codes; the low 32 bits go along as the first part."""
     if not len(codes):

@@ -4,9 +4,8 @@ import hashlib
 import math
 import random
 import re
-import zlib
+import time
 
-import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -85,10 +84,12 @@ def test_suffix_dedup(table):
 
 def test_multikey_sort():
     keys = np.random.default_rng(1).integers(0, 3, (500, 4)).astype(np.uint64)
-    order, group = suffix_dedup.multikey_sort(keys)
-    rows = [tuple(keys[i]) for i in order]
+    keys[250:] = keys[:250] + (np.arange(250) % 3 == 0)[:, None].astype(np.uint64) * np.uint64(256)
+    order = suffix_dedup.multikey_sort(keys)
+    rows = [keys[i].astype(">u8").tobytes() for i in order]
     assert rows == sorted(rows)
-    assert all((rows[i] == rows[j]) == (group[i] == group[j]) for i in range(0, 500, 7) for j in range(0, 500, 11))
+    common = [next((k for k in range(32) if a[k] != b[k]), 32) for a, b in zip(rows, rows[1:])]
+    assert suffix_dedup.common_prefixes(keys, order).tolist() == [0, *common]
 
 
 def test_line_dedup(table):
@@ -301,3 +302,155 @@ def test_sketches_refuse_nearly_no_pair_at_the_threshold():
                 odd = np.concatenate([[0.0], (odd * up)[:-1]]) + np.concatenate([(odd * (1 - up))[1:], [0.0]])
         print(least, limit, more)
         assert more < 1e-7
+
+
+def test_top_k_of_large_components(spark):
+    """Products beyond the exact range of doubles are exact; what needn't fit a long is an error."""
+    rng = random.Random(6)
+    rows = [(i, [float(rng.randint(-2_000_000, 2_000_000)) for _ in range(6)]) for i in range(120)]
+    rows += [(200, rows[50][1][:5] + [rows[50][1][5] + 1 / 256])]
+    got = {}
+    for r in mtree.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), page_rows=20, pivots=3).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    v = {i: [math.floor(256 * a) for a in x] for i, x in rows}
+    assert set(got) == {0, 50, 100, 200}
+    for q in got:
+        best = sorted((-sum(a * b for a, b in zip(v[q], v[c])), c) for c in v if c != q)[:5]
+        assert sorted(got[q]) == [(n + 1, c, -s) for n, (s, c) in enumerate(best)]
+    for huge in (1e12, 1e308):
+        with pytest.raises(ValueError, match="long"):
+            mtree.top_k(spark.createDataFrame([(0, [huge, 1.0]), (1, [1.0, 1.0])], "vec_id long, embedding array<double>"))
+
+
+def test_top_k_over_many_rings(spark):
+    """Pages cut by distance from their pivot, several rings and parts of rings for each pivot."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(0, 1, (1500, 4)) * rng.uniform(0.1, 3, (1500, 1))
+    got = {}
+    for r in mtree.top_k(spark.createDataFrame([(i, list(map(float, a))) for i, a in enumerate(x)], "vec_id long, embedding array<double>"), page_rows=5, pivots=2).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    v = np.floor(256 * x).astype(int)
+    for q in range(0, 1500, 50):
+        s = v @ v[q]
+        best = sorted((-int(s[c]), c) for c in range(1500) if c != q)[:5]
+        assert sorted(got[q]) == [(n + 1, c, -s) for n, (s, c) in enumerate(best)]
+
+
+def _thue_morse(n):
+    a, b = "a", "b"
+    for _ in range(n):
+        a, b = a + b, b + a
+    return a, b
+
+
+def test_words_that_cancel_in_polynomials(spark):
+    """The Thue-Morse word and its complement are different words, whatever the hash."""
+    a, b = _thue_morse(11)
+    head = " ".join(f"w{i}" for i in range(19))
+    rows = [(1, f"{head} {a}"), (2, f"{head} {b}"), (3, f"{head} {a}"), (4, " ".join([a, b, a, b, b, a])), (5, a + "x" * 300), (6, b + "x" * 300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: r.n_removed for r in substring_dedup.substring_dedup(df).collect()} == {1: 0, 2: 0, 3: 20, 4: 0, 5: 0, 6: 0}
+    assert {r.doc_id: r.n_shingles for r in minhash_dedup.near_groups(df.filter("doc_id = 4"), shingle=3, percent=85).collect()} == {4: 4}
+    got = {r.doc_id: r.n_removed for r in suffix_dedup.suffix_dedup(df.filter("doc_id in (5, 6)")).collect()}
+    raw = {i: t.encode() for i, t in rows[4:]}
+    places = {}
+    for i, t in raw.items():
+        for s in range(len(t) - 199):
+            places.setdefault(t[s : s + 200], []).append((i, s))
+    off = {i: set() for i in raw}
+    for spots in places.values():
+        if len(spots) > 1:
+            for i, s in spots:
+                off[i].update(range(s, s + 200))
+    assert got == {i: len(x) for i, x in off.items()}
+
+
+def test_equal_hashes_of_different_windows():
+    """Windows are told apart by their bytes, even where every hash is the same."""
+    data = np.frombuffer(b"abcdabcdabxdabcd", np.uint8)
+    at = np.arange(13)
+    first, twice = suffix_dedup.alike(np.zeros(13, np.uint64), data, at, np.arange(16), np.arange(16) + 4)
+    texts = [data[i : i + 4].tobytes() for i in at]
+    assert twice.tolist() == [texts.count(t) > 1 for t in texts]
+    assert [texts[i] for i in first] == texts
+    found = np.zeros(13, [("h", "<u8"), ("d", "<i8"), ("s", "<i4")])
+    found["s"] = at
+    assert substring_dedup.later(found, data, at, np.arange(16), np.arange(16) + 4).tolist() == [t in texts[:i] for i, t in enumerate(texts)]
+
+
+PROSE = ["First comes a paragraph, of some length, about one thing and another, so that it counts.", "Short one.", "Then another, with commas, clauses, and more words than anyone would care to read, at length."]
+
+
+def _body(paragraphs=PROSE):
+    return "".join(f"<p>{p}</p>" for p in paragraphs)
+
+
+PAGES = {
+    "no article": (f"<body><div id=menu><ul><li><a href=a>Home</a><li><a href=b>More</a></ul></div><div id=c>{_body()}</div><div id=footer>All rights</div></body>", PROSE),
+    "bare paragraphs": (f"<nav><a href=a>x</a></nav>{_body()}<footer>foot</footer>", PROSE),
+    "two parts": (f"<article><h1>Title</h1><div>{_body()}</div><div>{_body(['Second part, which is as long, as rich in commas, and as fine, as the first one was, by and large.'])}</div></article>", ["Title", *PROSE, "Second part, which is as long, as rich in commas, and as fine, as the first one was, by and large."]),
+    "title above": (f"<div><header><h1>Title</h1></header></div><main><h1>Big</h1><div>{_body()}</div></main>", ["Big", *PROSE]),
+    "link list beside": (f"<div><div>{_body()}</div><div><p><a href=1>One long link, with words, that leads away</a></p><p><a href=2>Another long link, with words, elsewhere</a></p></div></div>", PROSE),
+    "stray quote": (f"<div><p title=\"it\"s\">{PROSE[0]}</p><p>{PROSE[2]}</p></div>", [PROSE[0], PROSE[2]]),
+    "legal paragraph": (f"<div>{_body()}<p class=legal>The legal side of it, which is long, and belongs to the text, has its own paragraph.</p></div>", [*PROSE, "The legal side of it, which is long, and belongs to the text, has its own paragraph."]),
+    "tags and foot": (f"<div>{_body()}<div class=tags><a href=1>red</a> <a href=2>blue</a></div><div class=foot>Printed in 1999</div></div>", PROSE),
+    "comments": (f"<article>{_body()}</article><section id=comments><p>A reader, at length, with commas, about what was said above, and more.</p></section>", PROSE),
+    "comments inside": (f"<article>{_body()}<div class='comment-list'><p>A reader, at length, with commas, about what was said above, and more.</p></div></article>", PROSE),
+    "hidden": (f"<div>{_body()}<p hidden>Nobody, nowhere, sees this, or should.</p><p style='display: none'>Nor this, or that, at all.</p></div>", PROSE),
+    "cookie notice": (f"<div role=dialog><p>We use cookies, as all do, and ask for consent, as all must.</p></div><div class='cookie-bar'>Cookies, again, and again.</div><div>{_body()}</div>", PROSE),
+    "advert": (f"<article><p class=ad>Buy this, now, for less, while it lasts, and be happy.</p>{_body()}<div class='sponsored'>More, to buy.</div></article>", PROSE),
+    "form": (f"<div>{_body()}<form><label>Mail</label><input><button>Go</button> Please, do, enter it here.</form></div>", PROSE),
+    "scripts": (f"<div><script>var a = '<p>no, no, no</p>';</script><style>p {{}}</style>{_body()}<noscript>Turn it on, please.</noscript></div>", PROSE),
+    "references": ("<div><p>Fish &amp; chips, &lt;here&gt;, cost &pound;5 &#8212; or so they say, in the town.</p></div>", ["Fish & chips, <here>, cost £5 — or so they say, in the town."]),
+    "white space": ("<div><p>One\n  two\t three,\r\n four, five,   six and <b>seven</b>, and so on.</p></div>", ["One two three, four, five, six and seven, and so on."]),
+    "unclosed": (f"<div><p>{PROSE[0]}<p>{PROSE[2]}<b><p>{PROSE[1]}</div>", [PROSE[0], PROSE[2], PROSE[1]]),
+    "unclosed comment": (f"<div>{_body()}<!-- <p>never, ever, shown, though long</p></div>", PROSE),
+    "list": (f"<div>{_body()}<ul><li>An item, of some length.<li>Another item, as long.</ul></div>", [*PROSE, "An item, of some length.", "Another item, as long."]),
+    "table": (f"<table><tr><td>{_body()}</td><td class=sidebar><a href=a>x</a></td></tr></table>", PROSE),
+    "less than": ("<div><p>If a < b, and c > d, then a + c < b + c, as is well known.</p></div>", ["If a < b, and c > d, then a + c < b + c, as is well known."]),
+    "upper case": (f"<DIV><P>{PROSE[0]}</P><P CLASS='AD'>Buy, buy, buy, this is an advert.</P></DIV>", [PROSE[0]]),
+    "related": (f"<article>{_body()}</article><aside><p>Beside, and apart, at some length, it stands, and is left.</p></aside><div class=related><p>Read this, too, and that, and the other, all day.</p></div>", PROSE),
+    "nothing": ("<nav><a href=x>Home</a></nav><script>1</script>", []),
+}
+
+
+@pytest.mark.parametrize("name", PAGES)
+def test_pages(name):
+    page, want = PAGES[name]
+    assert html_text.main_text(page) == "\n".join(want)
+
+
+@pytest.mark.parametrize("part", ["<a ", '<a b="', "<a b='x\"", "<", "</", "<b>", "<div>", "<p>x", "<!--", "<li>", "<svg>", "a&"])
+def test_pages_take_linear_time(part):
+    began = time.process_time()
+    html_text.main_text(part * (1_000_000 // len(part)))
+    assert time.process_time() - began < 6
+
+
+def test_blank_and_long_texts(spark):
+    """A megabyte of blanks, one long word, and long prose pass through every operator on texts."""
+    rng = random.Random(9)
+    rows = [(1, " " * 1_000_000), (2, "x" * 1_000_000), (3, " ".join(rng.choice("abcdefgh") + str(rng.randint(0, 10**6)) for _ in range(120_000))), (4, None), (5, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    assert {r.doc_id: r.n_words for r in substring_dedup.substring_dedup(df).collect()} == {1: 0, 2: 1, 3: 120_000, 4: 0, 5: 0}
+    assert {r.doc_id: r.n_removed for r in suffix_dedup.suffix_dedup(df).collect()} == {1: 1_000_000, 2: 1_000_000, 3: 0, 4: 0, 5: 0}
+    assert {r.doc_id: r.component_id for r in minhash_dedup.near_groups(df).collect()} == {i: i for i, _ in rows}
+    sizes = {r.doc_id: r.n_tokens for r in bpe.bpe_encode(df).collect()}
+    packed = packing.pack(df).groupBy("doc_id").agg(F.sum("length").alias("n"), F.max("doc_tokens").alias("t")).collect()
+    assert {r.doc_id: (r.n, r.t) for r in packed} == {i: (n + 1, n + 1) for i, n in sizes.items()}
+    assert line_dedup.line_dedup(df).count() == exact_dedup.exact_dedup(df).count() == 5
+
+
+def test_packing_cuts_little(spark):
+    """Documents that fit a sequence are mostly whole, splinters are whole documents, and sequences are full."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = packing.pack(docs.coalesce(1)).collect()
+    n = {}
+    for r in rows:
+        n.setdefault(r.doc_id, []).append(r.length)
+    total = {r.doc_id: r.doc_tokens for r in rows}
+    assert all(sum(x) == total[i] for i, x in n.items())
+    assert all(r.length >= 16 or r.length == r.doc_tokens for r in rows)
+    fit = [i for i in n if total[i] <= 1024]
+    assert sum(len(n[i]) > 1 for i in fit) < 0.6 * len(fit)
+    assert sum(r.length for r in rows) > 0.97 * 1024 * len({r.sequence_id for r in rows})
