@@ -38,26 +38,37 @@ class Grid:
 
 @dataclass(frozen=True)
 class TimeSlice:
+    """Years, both ends included; `between` and `words` give the key's and the label's form."""
+
     start: int
     end: int
+    between: str = "_"
+    words: str = "-"
 
     @property
     def key(self) -> str:
-        return f"{self.start}_{self.end}"
+        return f"{self.start}{self.between}{self.end}"
 
     @property
     def label(self) -> str:
-        return f"{self.start}-{self.end}"
+        return f"{self.start}{self.words}{self.end}"
+
+
+def overall(slices: list[TimeSlice]) -> TimeSlice:
+    """From the first start to the last end."""
+    return TimeSlice(min(s.start for s in slices), max(s.end for s in slices))
 
 
 # Bounds, grid sizes, padding, slices and limits that results depend on.
 RAW_BOUNDS = Bounds(4.81, 4.964447, 52.2354339, 52.4443)
 PADDING = 0.05
 GRID_SIZES = [(75, 75), (8, 8), (16, 16)]
-SLICES = [TimeSlice(y, y + 50) for y in range(1500, 2000, 50)] + [TimeSlice(2000, 2025)]
+DEFAULT_SLICES = [TimeSlice(y, y + 50) for y in range(1500, 2000, 50)] + [TimeSlice(2000, 2025)]
+DEFAULT_START = 1800
+LONGEST_PERIOD = 50
+PAGE_SIZE = 100
 MAX_COMBO = 4
 HISTOGRAM_TAGS = 20
-MAX_TAGS = 20
 POINT = r"POINT\(([+-]?\d*\.?\d+)\s+([+-]?\d*\.?\d+)\)"
 
 BOUNDS = RAW_BOUNDS.padded(PADDING)

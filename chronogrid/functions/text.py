@@ -34,3 +34,23 @@ def period_label(start: Column, end: Column) -> Column:
 def translated(c: Column, words: dict[str, str]) -> Column:
     """Words of a small dictionary; unknown ones stay."""
     return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in words.items() for x in kv]), c), c)
+
+
+#: Shown names of content types.
+CONTENT_TYPES = {"image": "Afbeelding", "person": "Persoon", "text": "Tekst"}
+
+
+def pairs(m: Column, keys: list[str]) -> Column:
+    """The wanted entries of a map as an array of (key, value)."""
+    return F.map_entries(F.map_filter(m, lambda k, _: k.isin(keys)))
+
+
+def set_label(chosen: Column, every: Column, word: str = "all types") -> Column:
+    """`word` when all are chosen, else the chosen ones."""
+    return F.when(F.size(F.array_except(every, chosen)) == 0, F.lit(word)).otherwise(F.array_join(chosen, ", "))
+
+
+def page_bounds(total: Column, number: Column, size: Column) -> Column:
+    """struct(pages, first, last): how many pages, and the records on this one, counted from 1."""
+    first = (number - 1) * size + 1
+    return F.struct(F.ceil(total / size).alias("pages"), first.alias("first"), F.least(number * size, total).alias("last"))

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.config import MAX_COMBO, MAX_TAGS, Grid, TimeSlice
+from ..functions.config import MAX_COMBO, Grid, TimeSlice
 from .grid import assign_cells
 
 
@@ -21,31 +23,64 @@ def assign_slices(features: DataFrame, slices: list[TimeSlice]) -> DataFrame:
     return features.join(F.broadcast(keys), (F.col("start_year") <= F.col("_to")) & (F.col("end_year") >= F.col("_from"))).drop("_from", "_to")
 
 
-def tag_sets(tags: Column, most: int) -> Column:
-    """All combinations of up to `most` tags by position, sorted; the empty one stands for the base."""
-    ordered = F.array_sort(tags)
-    n = F.when(F.size(tags) > MAX_TAGS, F.raise_error(F.lit(f"a record has more than {MAX_TAGS} tags"))).otherwise(F.size(tags)).cast("int")
-    masks = F.filter(F.sequence(F.lit(0), F.pow(F.lit(2.0), n).cast("int") - 1), lambda m: F.bit_count(m) <= most)
-    return F.transform(masks, lambda m: F.filter(ordered, lambda t, i: F.getbit(m, i) == 1))
-
+def tag_sets(tags: Column, most: int, least: int = 0, containing: list[str] | None = None) -> Column:
+    """All combinations of `least` to `most` tags by position, sorted, that hold all of `containing`; the empty one stands for the base.
 
-def explode_tags(rows: DataFrame, most: int = MAX_COMBO) -> DataFrame:
-    """Rows times (tag_parts, tag_key): the base '', every tag, every combination joined by '+'."""
+    Built tag by tag from those that still have room, so n tags give C(n, 0..most) sets and any number of tags will do.
+    """
+    none = F.array(F.array().cast("array<string>"))
     if most == 0:
-        return rows.withColumn("tag_parts", F.array().cast("array<string>")).withColumn("tag_key", F.lit(""))
-    return rows.withColumn("tag_parts", F.explode(tag_sets(F.col("tags"), most))).withColumn("tag_key", F.array_join("tag_parts", "+"))
+        sets = none
+    elif most == 1:
+        sets = F.concat(none, F.transform(F.sort_array(tags), lambda t: F.array(t)))
+    else:
+        sets = F.aggregate(F.sort_array(tags), none, lambda acc, t: F.concat(acc, F.transform(F.filter(acc, lambda p: F.size(p) < most), lambda p: F.concat(p, F.array(t)))))
+    chosen = F.array(*map(F.lit, containing)) if containing else None
+    if least > 0 or containing:
+        sets = F.filter(sets, lambda p: (F.size(p) >= least) & (F.forall(chosen, lambda t: F.array_contains(p, t)) if containing else F.lit(True)))
+    return sets
 
 
 KEYS = ["resolution", "slice_key", "record_type", "tag_key", "tag_parts", "row", "col", "cell_idx"]
 
 
-def counts(features: DataFrame, slices: list[TimeSlice], grids: list[Grid], most: int = MAX_COMBO) -> DataFrame:
-    """The sparse cube: incidences by resolution, slice, type, tag key and cell, in one shuffle with map-side combining."""
-    placed = assign_slices(assign_cells(features, grids), slices)
+def _counted(features: DataFrame, place: Callable[[DataFrame], DataFrame], keys: list[str], most: int, least: int, containing: list[str] | None) -> DataFrame:
+    """Incidences by `keys` (with tag_key and tag_parts) of the rows that `place` makes of records; the key string is made once for each group.
+
+    Records are first counted by their whole tag list, so what follows grows with cells and
+    distinct lists, not with records. Combinations come from a dictionary of the distinct
+    lists, whose sets are made once each and joined (broadcast where the planner finds them
+    small enough).
+    """
+    plain = [k for k in keys if k not in ("tag_key", "tag_parts")]
+    if least > 0:
+        features = features.filter(F.size("tags") >= least)
+    if containing:  # others have no such combination
+        features = features.filter(F.forall(F.array(*map(F.lit, containing)), lambda t: F.array_contains("tags", t)))
     if most == 0:
-        cells = placed.groupBy(*[k for k in KEYS if k not in ("tag_key", "tag_parts")]).agg(F.count(F.lit(1)).alias("cnt"))
-        return explode_tags(cells, 0).select(*KEYS, "cnt")
-    return explode_tags(placed, most).groupBy(*KEYS).agg(F.count(F.lit(1)).alias("cnt"))
+        return place(features).groupBy(*plain).agg(F.count(F.lit(1)).alias("cnt")).withColumn("tag_parts", F.array().cast("array<string>")).withColumn("tag_key", F.lit("")).select(*keys, "cnt")
+    features = features.withColumn("tags", F.sort_array("tags"))
+    lists = place(features).groupBy(*plain, "tags").agg(F.count(F.lit(1)).alias("_n"))
+    if most == 1 and not containing:
+        one = F.explode("tags") if least else F.explode(F.concat(F.array(F.lit(None).cast("string")), "tags"))
+        found = lists.select(*plain, "_n", one.alias("_tag")).groupBy(*plain, "_tag").agg(F.sum("_n").alias("cnt"))
+        found = found.withColumn("tag_parts", F.when(F.col("_tag").isNull(), F.array().cast("array<string>")).otherwise(F.array("_tag")))
+    else:
+        sets = features.select("tags").distinct().withColumn("_sets", tag_sets(F.col("tags"), most, least, containing))
+        # An inner explode would push "has any set" down, and so make the sets of every record.
+        found = lists.join(sets, "tags").select(*plain, "_n", F.explode_outer("_sets").alias("tag_parts")).filter("tag_parts is not null").groupBy(*plain, "tag_parts").agg(F.sum("_n").alias("cnt"))
+    return found.withColumn("tag_key", F.array_join("tag_parts", "+")).select(*keys, "cnt")
+
+
+def counts(features: DataFrame, slices: list[TimeSlice], grids: list[Grid], most: int = MAX_COMBO, least: int = 0, containing: list[str] | None = None) -> DataFrame:
+    """The sparse cube: incidences by resolution, slice, type, tag key and cell, with map-side combining."""
+    return _counted(features, lambda f: assign_slices(assign_cells(f, grids), slices), KEYS, most, least, containing)
+
+
+def incidences(features: DataFrame, slices: list[TimeSlice], grid: Grid, most: int = MAX_COMBO, least: int = 0, containing: list[str] | None = None) -> DataFrame:
+    """(record_type, tag_key, tag_parts, slice_key, cnt): what a histogram holds, without cells: in-grid records by slice."""
+    place = lambda f: assign_slices(assign_cells(f, [grid]).select("record_type", "tags", "start_year", "end_year"), slices)
+    return _counted(features, place, ["record_type", "tag_key", "tag_parts", "slice_key"], most, least, containing)
 
 
 def density(cells: DataFrame, by: list[str]) -> DataFrame:
@@ -59,14 +94,28 @@ def densify(cells: DataFrame, blueprint: DataFrame, keys: DataFrame) -> DataFram
     return keys.crossJoin(blueprint.select("row", "col", "cell_idx")).join(cells, [*keys.columns, "row", "col", "cell_idx"], "left").fillna(0, ["cnt"])
 
 
-def histogram(cube: DataFrame, slices: list[TimeSlice], keys: DataFrame, primary: str) -> DataFrame:
-    """(keys..., slice_key, cnt): sums over cells of the primary resolution, zero where absent."""
+def histogram(cube: DataFrame, slices: list[TimeSlice], keys: DataFrame, primary: str | None = None) -> DataFrame:
+    """(keys..., slice_key, cnt): sums over cells of the primary resolution, zero where absent; `cube` may be incidences."""
     names = keys.columns
-    sums = cube.filter(F.col("resolution") == primary).groupBy(*names, "slice_key").agg(F.sum("cnt").alias("cnt"))
-    every = keys.crossJoin(F.broadcast(time_slices(cube.sparkSession, slices).select("slice_key")))
+    rows = cube.filter(F.col("resolution") == primary) if primary else cube
+    sums = rows.groupBy(*names, "slice_key").agg(F.sum("cnt").alias("cnt"))
+    every = keys.crossJoin(F.broadcast(time_slices(cube.sparkSession, sorted(slices, key=lambda x: x.start)).select("slice_key")))
     return every.join(sums, [*names, "slice_key"], "left").fillna(0, ["cnt"])
 
 
+def empty_histograms(spark: SparkSession, types: list[str], tags: list[str], slices: list[TimeSlice], first: int = 5) -> DataFrame:
+    """Zero bins of every type's base ('') and first tags, without data."""
+    rows = [(t, k, s.key, 0) for t in types for k in ["", *tags[:first]] for s in sorted(slices, key=lambda x: x.start)]
+    return spark.createDataFrame(rows, "record_type string, tag_key string, slice_key string, cnt long")
+
+
+def statistics(base: DataFrame, slices: list[TimeSlice], grids: list[Grid]) -> DataFrame:
+    """(record_type, features, n_slices, n_cells, n_resolutions) of each type and of the total, from the base counts of one resolution."""
+    per = base.groupBy("record_type").agg(F.sum("cnt").alias("features"))
+    total = base.agg(F.sum("cnt").alias("features")).withColumn("record_type", F.lit("total"))
+    return per.unionByName(total).withColumns({"n_slices": F.lit(len(slices)), "n_cells": F.lit(grids[0].rows * grids[0].cols), "n_resolutions": F.lit(len(grids))})
+
+
 def summary(bins: DataFrame, by: list[str]) -> DataFrame:
     return bins.groupBy(*by).agg(F.max("cnt").alias("max_count"), F.sum("cnt").alias("total_features"), F.count(F.lit(1)).alias("n_bins"))
 
@@ -76,7 +125,11 @@ def first_tags(features: DataFrame, n: int) -> DataFrame:
     return features.select(F.explode("tags").alias("tag_key")).groupBy("tag_key").agg(F.count(F.lit(1)).alias("_n")).orderBy(F.desc("_n"), "tag_key").limit(n).select("tag_key")
 
 
-def top_combinations(cube: DataFrame, n: int = 10) -> DataFrame:
+def top_combinations(cube: DataFrame, n: int = 10, by: list[str] | None = None) -> DataFrame:
+    """The n most frequent combinations, of all or of each group in `by` (slice, resolution)."""
+    if by:
+        found = cube.filter(F.size("tag_parts") > 1).groupBy(*by, "tag_key").agg(F.sum("cnt").alias("cnt"))
+        return found.withColumn("rank", F.row_number().over(W.partitionBy(*by).orderBy(F.desc("cnt"), "tag_key"))).filter(F.col("rank") <= n)
     combos = cube.filter(F.size("tag_parts") > 1).groupBy("tag_key").agg(F.sum("cnt").alias("cnt"))
     return combos.orderBy(F.desc("cnt"), "tag_key").limit(n)
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.config import Grid
@@ -20,61 +21,116 @@ def params(text: str | None) -> list[str]:
     return [p.strip() for p in (text or "").split(",") if p.strip()]
 
 
-def check_types(cube: DataFrame, types: list[str]) -> list[str]:
-    """The wanted types (all when none are); unknown ones are an error."""
-    have = [r[0] for r in cube.select("record_type").distinct().orderBy("record_type").collect()]
-    missing = [t for t in types if t not in have]
+def known_types(spark_types: DataFrame) -> list[str]:
+    return [r[0] for r in spark_types.select("record_type").distinct().orderBy("record_type").collect()]
+
+
+def check_types(cube: DataFrame, types: list[str] | None, known: list[str] | None = None) -> list[str]:
+    """The wanted types (all when none are); unknown ones are an error. `known`: all types, from the metadata, else asked of the cube."""
+    have = known_types(cube) if known is None else known
+    missing = [t for t in types or [] if t not in have]
     if missing:
         raise UnknownRecordType(f"RecordTypes \"{', '.join(missing)}\" not found; available: {', '.join(have)}")
     return types or have
 
 
+def usable_types(asked: list[str], have: list[str]) -> tuple[list[str], list[str]]:
+    """(types to use, unknown ones) of a request: the known among those asked for, all where none is known."""
+    return [t for t in asked if t in have] or list(have), [t for t in asked if t not in have]
+
+
+def usable_tags(asked: list[str], vocabulary: DataFrame) -> DataFrame:
+    """(tag, known) of the tags asked for."""
+    spark = vocabulary.sparkSession
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(asked)], "_i int, tag string")
+    have = vocabulary.filter("kind = 'tag'").select(F.col("name").alias("tag"), F.lit(True).alias("_have")).distinct()
+    return rows.join(have, "tag", "left").select("tag", F.coalesce("_have", F.lit(False)).alias("known"))
+
+
+def source_params(asked: dict) -> dict:
+    """Arguments of `drilldown` from a request's names: recordtype, tag_operator (OR unless said), empty lists dropped."""
+    names = {"recordTypes": "types", "recordtype": "types", "tagOperator": "operator", "tag_operator": "operator"}
+    out = {names.get(k, k): v for k, v in asked.items() if v not in (None, [], "")}
+    return {"operator": "OR"} | out
+
+
 def combo_key(tags: list[str]) -> str:
     return "+".join(sorted(tags))
 
 
-def heatmaps(cube: DataFrame, resolution: str, types: list[str] | None = None, tags: list[str] | None = None, operator: str = "AND", merged: bool | None = None, or_mode: str = "sum", placed: DataFrame | None = None) -> DataFrame:
+def heatmaps(cube: DataFrame, resolution: str, types: list[str] | None = None, tags: list[str] | None = None, operator: str = "AND", merged: bool | None = None, or_mode: str = "sum", placed: DataFrame | None = None, blueprint: DataFrame | None = None, known: list[str] | None = None) -> DataFrame:
     """Counts and densities of one resolution.
 
     No tags: the base; one tag: its heatmap; AND: the stored combination; OR: sum over tags, or
     with or_mode 'union' each record once (from `placed`). Types are merged when no tags are
-    asked for, unless `merged` says otherwise.
+    asked for, unless `merged` says otherwise. Unknown types are an error. With a `blueprint`
+    every slice and type that has any record has all its cells, zeros where a tag or combination
+    is missing; without it only cells with records.
     """
-    cells = cube.filter(F.col("resolution") == resolution)
-    if types:
-        cells = cells.filter(F.col("record_type").isin(types))
+    types = check_types(cube, types, known)
+    whole = cube.filter((F.col("resolution") == resolution) & F.col("record_type").isin(types))
     tags = tags or []
     if operator == "OR" and len(tags) > 1:
         if or_mode == "union":
-            rows = placed.filter(F.col("resolution") == resolution)
-            out = M.or_union(rows.filter(F.col("record_type").isin(types)) if types else rows, tags)
+            out = M.or_union(placed.filter((F.col("resolution") == resolution) & F.col("record_type").isin(types)), tags)
         else:
-            out = M.or_sum(cells, tags)
+            out = M.or_sum(whole, tags)
         out = out.withColumn("tag_key", F.lit(combo_key(tags)))
     else:
-        out = cells.filter((F.col("tag_key") == combo_key(tags)) & (F.size("tag_parts") == len(tags))).drop("tag_parts")
+        out = whole.filter((F.col("tag_key") == combo_key(tags)) & (F.size("tag_parts") == len(tags))).drop("tag_parts")
+    if blueprint is not None:
+        keys = whole.filter("tag_key = ''").select("resolution", "slice_key", "record_type").distinct().withColumn("tag_key", F.lit(combo_key(tags)))
+        out = C.densify(out.select(*keys.columns, "row", "col", "cell_idx", "cnt"), blueprint, keys)
     if merged if merged is not None else not tags:
-        names = types or [r[0] for r in cube.select("record_type").distinct().collect()]
-        out = M.merge_types(out, names)
+        out = M.merge_types(out, types)
     return C.density(out.select("resolution", "slice_key", "record_type", "tag_key", "row", "col", "cell_idx", "cnt"), ["resolution", "slice_key", "record_type", "tag_key"])
 
 
-def tag_totals(cube: DataFrame, primary: str, types: list[str] | None = None) -> DataFrame:
-    """(tag, total, record_types) of single tags, sums over slices, none without records."""
-    cells = cube.filter((F.col("resolution") == primary) & (F.size("tag_parts") == 1))
-    cells = cells.filter(F.col("record_type").isin(types)) if types else cells
-    return cells.groupBy(F.col("tag_key").alias("tag")).agg(F.sum("cnt").alias("total"), F.array_join(F.array_sort(F.collect_set("record_type")), ",").alias("record_types")).filter("total > 0")
+def histograms(bins: DataFrame, slices: list, types: list[str] | None = None, tags: list[str] | None = None, operator: str = "AND", or_mode: str = "sum", placed: DataFrame | None = None, known: list[str] | None = None) -> DataFrame:
+    """(record_type, tag_key, slice_key, cnt): bins of every wanted type, zeros where the tag or combination is missing.
+
+    No tags: the base; one: its own; AND: the stored combination; OR: the sum over tags, with
+    or_mode 'union' each record once (from `placed`), with 'reference' the base once for each
+    tag. Unknown types are an error.
+    """
+    spark = bins.sparkSession
+    types = check_types(bins, types, known)
+    tags = tags or []
+    some = bins.filter(F.col("record_type").isin(types))
+    if operator == "OR" and len(tags) > 1:
+        if or_mode == "union":
+            found = M.or_union_bins(placed.filter(F.col("record_type").isin(types)), tags)
+        elif or_mode == "reference":
+            found = some.filter("tag_key = ''").withColumn("cnt", F.col("cnt") * len(tags))
+        else:
+            found = some.filter(F.col("tag_key").isin(tags) & (F.size("tag_parts") == 1))
+    else:
+        found = some.filter((F.col("tag_key") == combo_key(tags)) & (F.size("tag_parts") == len(tags)))
+    keys = spark.createDataFrame([(t,) for t in types], "record_type string")
+    return C.histogram(found, slices, keys).withColumn("tag_key", F.lit(combo_key(tags))).select("record_type", "tag_key", "slice_key", "cnt")
+
+
+def by_name(tags: DataFrame, name: str = "tag") -> DataFrame:
+    """Rows in the locale's order of a name, case after letters, with their rank."""
+    return tags.withColumn("rank", F.row_number().over(W.orderBy(F.collate(name, "UNICODE"), name))).orderBy("rank")
 
 
-def next_tags(cube: DataFrame, primary: str, selected: list[str], types: list[str] | None = None) -> DataFrame:
+def tag_totals(bins: DataFrame, types: list[str] | None = None) -> DataFrame:
+    """(tag, total, record_types) of single tags, sums over slices, none without records; `bins` are histograms (or counts of one resolution)."""
+    rows = bins.filter(F.size("tag_parts") == 1)
+    rows = rows.filter(F.col("record_type").isin(types)) if types else rows
+    return rows.groupBy(F.col("tag_key").alias("tag")).agg(F.sum("cnt").alias("total"), F.array_join(F.array_sort(F.collect_set("record_type")), ",").alias("record_types")).filter("total > 0")
+
+
+def next_tags(bins: DataFrame, selected: list[str], types: list[str] | None = None) -> DataFrame:
     """Tags that occur together with all selected ones, with their totals."""
     if not selected:
-        return tag_totals(cube, primary, types)
-    cells = cube.filter((F.col("resolution") == primary) & (F.size("tag_parts") == len(selected) + 1))
-    cells = cells.filter(F.col("record_type").isin(types)) if types else cells
+        return tag_totals(bins, types)
+    rows = bins.filter(F.size("tag_parts") == len(selected) + 1)
+    rows = rows.filter(F.col("record_type").isin(types)) if types else rows
     chosen = F.array(*map(F.lit, selected))
-    cells = cells.filter(F.forall(chosen, lambda t: F.array_contains("tag_parts", t)))
-    extra = cells.withColumn("tag", F.explode(F.array_except("tag_parts", chosen)))
+    rows = rows.filter(F.forall(chosen, lambda t: F.array_contains("tag_parts", t)))
+    extra = rows.withColumn("tag", F.explode(F.array_except("tag_parts", chosen)))
     return extra.groupBy("tag").agg(F.sum("cnt").alias("total"), F.array_join(F.array_sort(F.collect_set("record_type")), ",").alias("record_types")).filter("total > 0")
 
 
@@ -115,8 +171,20 @@ def validate_periods(asked: DataFrame, slices: DataFrame, longest: int = 50) ->
     return asked.join(F.broadcast(have), "period", "left").select("period", verdict.alias("verdict"))
 
 
-def validate_cells(asked: DataFrame, grid: Grid) -> DataFrame:
+def last_period(slices: DataFrame) -> DataFrame:
+    """The period shown where the one asked for can't be: the last."""
+    return slices.agg(F.max_by("slice_key", "start_year").alias("period"))
+
+
+def chosen_periods(asked: DataFrame, slices: DataFrame, longest: int = 50) -> DataFrame:
+    """(period, verdict, shown): the period itself where valid, else the last one."""
+    return validate_periods(asked, slices, longest).crossJoin(F.broadcast(last_period(slices).withColumnRenamed("period", "_last"))).select("period", "verdict", F.when(F.col("verdict") == "valid", F.col("period")).otherwise(F.col("_last")).alias("shown"))
+
+
+def validate_cells(asked: DataFrame, grid: Grid, blueprint: DataFrame | None = None) -> DataFrame:
+    """(cell_id, verdict): format, then the grid's size, then, with a blueprint, whether it holds the cell."""
     parts = F.split("cell_id", "_")
     row, col = F.get(parts, F.lit(0)).try_cast("int"), F.get(parts, F.lit(1)).try_cast("int")
-    verdict = F.when(~F.col("cell_id").rlike(r"^\d+_\d+$"), "format").when((row >= grid.rows) | (col >= grid.cols) | row.isNull() | col.isNull(), "outside").otherwise("valid")
-    return asked.select("cell_id", verdict.alias("verdict"))
+    have = asked.withColumn("_have", F.lit(True)) if blueprint is None else asked.join(F.broadcast(blueprint.select("cell_id", F.lit(True).alias("_have"))), "cell_id", "left")
+    verdict = F.when(~F.col("cell_id").rlike(r"^\d+_\d+$"), "format").when((row >= grid.rows) | (col >= grid.cols) | row.isNull() | col.isNull(), "outside").when(F.col("_have").isNull(), "unknown").otherwise("valid")
+    return have.select("cell_id", verdict.alias("verdict"))

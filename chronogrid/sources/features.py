@@ -3,19 +3,46 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.config import POINT
+from ..functions.config import DEFAULT_START, POINT
 
 RAW = "ds string, geom string, per array<int>, tit string, url string, recordType string, tags array<string>, thumbnail string, alt string, text string"
 
 
+PAGE = f"data array<struct<{RAW.replace(' array', ': array').replace(' string', ': string')}>>, total long, page int, page_size int, returned int, total_pages int"
+
+
 def read_raw(spark: SparkSession, path: str, fmt: str = "json") -> DataFrame:
-    """Raw records from files, with a fixed schema (pages of an HTTP source are such files)."""
-    reader = spark.read.schema(RAW) if fmt == "json" else spark.read
+    """Raw records from files with a fixed schema; a malformed JSON line fails the job."""
+    reader = spark.read.schema(RAW).option("mode", "FAILFAST") if fmt == "json" else spark.read
     return reader.format(fmt).load(path)
 
 
+def read_pages(spark: SparkSession, path: str) -> DataFrame:
+    """Raw records from saved answers of a paged source, one envelope a line: (data, total, page, ...)."""
+    pages = spark.read.schema(PAGE).option("mode", "FAILFAST").json(path)
+    return pages.select(F.explode("data").alias("_r")).select("_r.*")
+
+
+def scan(features: DataFrame, box: tuple[float, float, float, float] | None = None, start: int = DEFAULT_START, end: int | None = None, max_rows_per_chunk: int | None = None, chunk: Column | None = None) -> DataFrame:
+    """Records in a closed box (lon, lon_to, lat, lat_to) whose period touches start to end.
+
+    `max_rows_per_chunk` with `chunk` keeps that many records of each chunk, by url, title and
+    place; without it nothing is left out.
+    """
+    out = features.filter(F.col("end_year") >= start)
+    if end is not None:
+        out = out.filter(F.col("start_year") <= end)
+    if box is not None:
+        out = out.filter(within(*box))
+    if max_rows_per_chunk is not None:
+        order = W.partitionBy("_chunk").orderBy("url", "title", "lon", "lat")
+        out = out.withColumn("_chunk", chunk).withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= max_rows_per_chunk).drop("_chunk", "_n")
+    return out
+
+
 def coordinate(wkt: Column, part: int) -> Column:
     """Longitude (1) or latitude (2) of a WKT point, null where the text holds none."""
     return F.regexp_extract(wkt, POINT, part).try_cast("double")
@@ -54,6 +81,13 @@ def vocabulary(features: DataFrame) -> DataFrame:
     return types.unionByName(tags).distinct()
 
 
+def vocabulary_by_slice(placed: DataFrame) -> DataFrame:
+    """(slice_key, kind, name) of the types and tags of records on the grid."""
+    types = placed.select("slice_key", F.lit("record_type").alias("kind"), F.col("record_type").alias("name"))
+    tags = placed.select("slice_key", F.lit("tag").alias("kind"), F.explode("tags").alias("name"))
+    return types.unionByName(tags).distinct()
+
+
 def within(lon: float, lon_to: float, lat: float, lat_to: float) -> Column:
     """Closed bounding box on parsed columns, which Parquet statistics can prune."""
     return F.col("lon").between(lon, lon_to) & F.col("lat").between(lat, lat_to)

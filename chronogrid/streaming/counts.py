@@ -8,6 +8,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.config import Grid, TimeSlice
 from ..operators import cube as C
+from ..sources.features import vocabulary
 
 
 def start(features: DataFrame, slices: list[TimeSlice], grids: list[Grid], path: str, most: int = 0) -> StreamingQuery:
@@ -15,9 +16,15 @@ def start(features: DataFrame, slices: list[TimeSlice], grids: list[Grid], path:
 
     def add(batch: DataFrame, number: int) -> None:
         C.counts(batch, slices, grids, most).write.mode("overwrite").parquet(f"{path}/counts/batch={number}")
+        vocabulary(batch).write.mode("overwrite").parquet(f"{path}/vocabulary/batch={number}")
 
     return features.writeStream.foreachBatch(add).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
 
 
 def totals(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(f"{path}/counts").groupBy(*C.KEYS).agg(F.sum("cnt").alias("cnt"))
+
+
+def names(spark: SparkSession, path: str) -> DataFrame:
+    """(kind, name) of all types and tags seen so far."""
+    return spark.read.parquet(f"{path}/vocabulary").select("kind", "name").distinct()
