@@ -19,7 +19,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import by_value, id_text, table
+from .common import by_value, id_text, lean, table
 from .tokens import SPLIT, Encoder, Vocabulary, default_path, slices, small_batches, spread
 
 _NONE = np.int32(2**31 - 1)
@@ -141,7 +141,7 @@ def bpe_encode(df: DataFrame, path: str | None = None, id_col: str = "doc_id", t
                 blobs = [raw[4 * x : 4 * y] for x, y in zip(at[:-1].tolist(), at[1:].tolist())]
                 yield pa.record_batch([batch.column(0)[a:b], pa.array(np.diff(at), pa.int64()), pa.array(blobs, pa.binary())], names=["_id", "n_tokens", "ids"])
 
-    return id_text(df, id_col, text_col).mapInArrow(run, "_id long, n_tokens long, ids binary").withColumnRenamed("_id", id_col)
+    return id_text(df, id_col, text_col).mapInArrow(lean(run), "_id long, n_tokens long, ids binary").withColumnRenamed("_id", id_col)
 
 
 def bpe_decode(df: DataFrame, path: str | None = None, ids_col: str = "ids", into: str = "decoded") -> DataFrame:
@@ -161,7 +161,7 @@ def bpe_decode(df: DataFrame, path: str | None = None, ids_col: str = "ids", int
             texts = [b"".join(map(of, np.frombuffer(x or b"", "<u4").tolist())).decode("utf-8", "replace") for x in column.to_pylist()]
             yield pa.record_batch([*batch.columns, pa.array(texts, pa.string())], names=[*keep, into])
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(lean(run), schema)
 
 
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

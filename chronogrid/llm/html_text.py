@@ -3,8 +3,11 @@
 A page is read into a tree. Every paragraph gives points for its length and its commas to its
 parent, and half of them to its grandparent; a container's points are discounted by the share
 of its text that stands in links. The container with most points is kept, with those of its
-siblings that score near it or are paragraphs of prose themselves. Elements that hold no
-article text (menus, headers, forms, scripts, ...) are left out by tag, role, class or id.
+siblings that score near it or are paragraphs of prose themselves; so are, level by level
+above it, containers with a fair share of the article's paragraphs. The points, the discount
+and the joining of siblings follow a widely known public readability method. Elements that hold
+no article text (menus, headers, forms, scripts, ...) are left out by tag, role, class or id;
+names that also occur on paragraphs count only where links or brevity agree.
 """
 
 from __future__ import annotations
@@ -17,72 +20,151 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import by_value, table
+from .common import by_value, lean, table
 from .tokens import small_batches
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|iframe|svg|textarea|select|title|object|canvas|math|audio|video)\b[^>]*>.*?(?:</\1\s*>|\Z)"
-    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*?)/?>|<[!?][^>]*>",
-    re.S | re.I,
-)
-_ATTR = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.S)
+#: A tag written as it should be; anything else is read attribute by attribute. Possessive, so no text is tried twice.
+_TAG = re.compile(r"<(/?+)([a-zA-Z][^\s/><\"'=]*+)((?:\s++[^\s\"'<>/=]++(?:\s*+=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s\"'=<>`]++))?+)*+)\s*+(/?+)>")
+_NAME = re.compile(r"<(/?+)([a-zA-Z][^\s/>]*+)")
+_PART = re.compile(r"[\s/]*+(?:(>)|([^\s/>][^\s/>=]*+)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>\"'][^\s>]*+)?+))?+)")
+#: Elements whose content isn't markup, up to their end tag.
+_RAW = {t: re.compile(rf"</{t}(?=[\s/>])", re.I) for t in "script style iframe textarea title xmp noembed noframes".split()}
+_ATTR = re.compile(r"([^\s=]++)\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s\"'>]++))", re.S)
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _BLOCK = frozenset(
     "address article aside blockquote body button caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol option p pre search section summary table tbody td tfoot th thead tr ul".split()
 )
 #: What an opening tag closes when it stands open, and where the search for it ends.
 _CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dd": ({"dd", "dt"}, {"dl"}), "dt": ({"dd", "dt"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
-_DROP_TAGS = frozenset("nav header footer aside form button menu dialog search head fieldset label".split())
+_DROP_TAGS = frozenset("nav header footer aside form button menu dialog search head fieldset label noscript template svg select object canvas math audio video".split())
 _DROP_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
+#: Names of what holds no article text, whatever stands in it.
 _DROP_NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisements?|advertising|adsense|adslot|banner|sponsor(?:ed)?|promo(?:tions?)?|sidebar|side-bar|menu|nav|navbar|navigation|breadcrumbs?|header|masthead|footer|foot|"
-    r"comments?|commentlist|disqus|replies|reply|respond|cookies?|consent|gdpr|notices?|alert|popup|modal|overlay|newsletter|subscribe|subscription|signup|login|share|sharing|social|"
-    r"related|recommended|recommendations|widget|toolbar|skip|skip-link|pagination|pager|copyright|legal|disclaimer|search|tags|hidden)(?:$|[\s_-])",
+    r"(?:^|[\s_-])(?:ads?|adverts?|advertisements?|advertising|adsense|adslot|banner|sponsor(?:ed)?|promo(?:tions?)?|sidebar|side-bar|menu|nav|navbar|navigation|breadcrumbs?|masthead|footer|"
+    r"comments?|commentlist|disqus|replies|cookies?|consent|gdpr|notices?|popup|modal|overlay|newsletter|subscribe|subscription|signup|login|share|sharing|social|"
+    r"related|recommended|recommendations|skip-link|pagination|pager)(?:$|[\s_-])",
     re.I,
 )
+#: Names that may also stand on an article's own paragraphs: left out only where links or brevity speak against them.
+_WEAK_NAMES = re.compile(r"(?:^|[\s_-])(?:header|foot|reply|respond|alert|widget|toolbar|skip|copyright|legal|disclaimer|search|tags|hidden)(?:$|[\s_-])", re.I)
 _NAMED_DROP = re.compile(r"^(?:sidebar|comment|cookie|advert|breadcrumb|newsletter|navbar|footer)", re.I)
 _KEEP_NAMES = re.compile(r"(?:^|[\s_-])(?:article|body|content|entry|main|post|story|text)(?:$|[\s_-])", re.I)
+#: Blocks of prose: a name of a whole region on one of them says little.
+_PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre li dd dt td th tr tbody caption figcaption".split())
+_NOT_PROSE = re.compile(r"(?:^|[\s_-])(?:ads?|adverts?|advertisements?|advertising|sponsor(?:ed)?|promo(?:tions?)?|cookies?|consent|notices?|newsletter|breadcrumbs?|pagination|share)(?:$|[\s_-])", re.I)
 _SPACE = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "kids", "drop", "score", "text_n", "link_n")
+    __slots__ = ("tag", "parent", "kids", "drop", "weak", "score", "total", "text_n", "link_n")
 
     def __init__(self, tag: str, parent: "Node | None", drop: bool = False):
         self.tag, self.parent, self.kids, self.drop = tag, parent, [], drop
-        self.score, self.text_n, self.link_n = 0.0, 0, 0
+        self.weak, self.score, self.total, self.text_n, self.link_n = False, 0.0, 0.0, 0, 0
 
 
-def _dropped(tag: str, attrs: str, inside_article: bool) -> bool:
+def _named(node: Node, attrs: str, inside_article: bool) -> None:
+    """Sets node.drop and node.weak by tag, role, class, id and style."""
+    tag = node.tag
     if tag in _DROP_TAGS and not (tag == "header" and inside_article):
-        return True
-    if not attrs or tag in ("body", "html", "main", "article"):
-        return False
-    for key, a, b, c in _ATTR.findall(attrs):
-        key, value = key.lower(), a or b or c
-        if key == "role" and value.strip().lower() in _DROP_ROLES or key == "aria-hidden" and value.strip().lower() == "true":
-            return True
-        if key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-            return True
-        if key in ("class", "id") and (_DROP_NAMES.search(value) or any(map(_NAMED_DROP.match, value.split()))) and not _KEEP_NAMES.search(value):
-            return True
-    return bool(re.search(r"(?:^|\s)hidden(?:\s|$|=)", attrs, re.I))
+        node.drop = True
+    elif attrs and tag not in ("body", "html", "main", "article"):
+        names = _PROSE if tag in _PROSE else ()
+        for key, a, b, c in _ATTR.findall(attrs):
+            key, value = key.lower(), a or b or c
+            if key == "role" and value.strip().lower() in _DROP_ROLES or key == "aria-hidden" and value.strip().lower() == "true":
+                node.drop = True
+            elif key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
+                node.drop = True
+            elif key in ("class", "id") and not _KEEP_NAMES.search(value):
+                if names:
+                    node.drop = node.drop or bool(_NOT_PROSE.search(value))
+                elif _DROP_NAMES.search(value) or any(map(_NAMED_DROP.match, value.split())):
+                    node.drop = True
+                else:
+                    node.weak = node.weak or bool(_WEAK_NAMES.search(value))
+        if re.search(r"(?:^|\s)hidden(?:\s|$|=)", attrs, re.I):
+            node.drop = True
+
+
+def tokens(source: str) -> Iterator[tuple[str, str, str, str]]:
+    """(text, "", "", "") and ("", slash, tag name, attributes) in page order, in time linear in the page.
+
+    Comments, declarations and the content of scripts and the like are passed over. As in
+    browsers, a tag goes on to the `>` outside quotes that follow a `=`, and what stands in a
+    tag, comment or script that never ends is no text.
+    """
+    at, n = 0, len(source)
+    while at < n:
+        start = source.find("<", at)
+        if start < 0:
+            yield source[at:], "", "", ""
+            return
+        if start > at:
+            yield source[at:start], "", "", ""
+        if source.startswith("<!--", start):
+            end = source.find("-->", start + 4)
+            at = n if end < 0 else end + 3
+            continue
+        m = _TAG.match(source, start)
+        if m:
+            slash, name, attrs, at = m[1], m[2].lower(), m[3], m.end()
+        else:
+            m = _NAME.match(source, start)
+            if not m:
+                if source[start + 1 : start + 2] in ("!", "?", "/"):
+                    end = source.find(">", start + 2)
+                    at = n if end < 0 else end + 1
+                else:
+                    yield "<", "", "", ""
+                    at = start + 1
+                continue
+            slash, name, at, parts = m[1], m[2].lower(), m.end(), []
+            while True:
+                part = _PART.match(source, at)
+                if not part or part.end() >= n and not part[1]:
+                    return
+                at = part.end()
+                if part[1]:
+                    break
+                value = next((v for v in part.groups()[2:] if v is not None), None)
+                parts.append(part[2] if value is None else f"{part[2]}='{value}'" if "'" not in value else f'{part[2]}="{value}"')
+            attrs = " ".join(parts)
+        if name in _RAW and not slash:
+            end = _RAW[name].search(source, at)
+            close = source.find(">", end.end()) if end else -1
+            if close < 0:
+                return
+            at = close + 1
+        else:
+            yield "", slash or " ", name, attrs
 
 
 def read_tree(source: str) -> Node:
     """The page's tree; texts are strings among `kids`. Unclosed and stray tags are tolerated."""
     root = node = Node("html", None)
-    at, article = 0, 0
-    for m in _TOKEN.finditer(source):
-        if m.start() > at:
-            node.kids.append(html.unescape(source[at : m.start()]))
-        at = m.end()
-        tag = (m[3] or "").lower()
-        if not tag or tag in ("html", "body") and not m[2]:
-            if tag and m[4] and _dropped("div", "", False):
-                node.drop = True
+    open_tags: dict[str, int] = {}  # how many elements of each tag stand open, so a stray end tag costs nothing
+
+    def leave(to: Node) -> Node:
+        nonlocal node
+        while node is not to:
+            open_tags[node.tag] -= 1
+            node = node.parent
+        return node
+
+    for text, slash, tag, attrs in tokens(source):
+        if not tag:
+            node.kids.append(html.unescape(text))
+            continue
+        if tag in ("html", "body") and slash != "/":
+            if attrs:
+                mark = Node("div", None)
+                _named(mark, attrs, False)
+                node.drop = node.drop or mark.drop and "hidden" not in attrs
             continue
-        if m[2]:
+        if slash == "/":
+            if not open_tags.get(tag):
+                continue
             up = node
             while up is not None and up.tag != tag:
                 if tag not in _BLOCK and up.tag in _BLOCK:  # an inline end tag doesn't close blocks
@@ -90,37 +172,31 @@ def read_tree(source: str) -> Node:
                     break
                 up = up.parent
             if up is not None and up.parent is not None:
-                node = up.parent
+                leave(up.parent)
             continue
         if tag in _BLOCK:
             p = node
-            while p is not None and p.tag not in _BLOCK:
+            while p.tag not in _BLOCK and p.parent is not None:
                 p = p.parent
-            if p is not None and p.tag == "p" and p.parent is not None:  # a block ends an open paragraph
-                node = p.parent
-            elif node is not p and p is not None:
-                node = p
+            leave(p.parent if p.tag == "p" and p.parent is not None else p)  # a block ends inline elements and an open paragraph
         if tag in _CLOSES:
             own, stop = _CLOSES[tag]
-            up, hit = node, None
-            while up is not None and up.tag not in stop:
-                if up.tag in own:
-                    hit = up
-                up = up.parent
-            if hit is not None and hit.parent is not None:
-                node = hit.parent
+            if any(open_tags.get(t) for t in own):
+                up, hit = node, None
+                while up is not None and up.tag not in stop:
+                    if up.tag in own:
+                        hit = up
+                    up = up.parent
+                if hit is not None and hit.parent is not None:
+                    leave(hit.parent)
+        new = Node(tag, node)
+        node.kids.append(new)
         if tag in _VOID:
-            node.kids.append(Node(tag, node))
             continue
-        inside, up = False, node
-        while up is not None and tag == "header":
-            inside, up = inside or up.tag == "article", up.parent
-        new = Node(tag, node, _dropped(tag, m[4] or "", inside))
-        node.kids.append(new)
-        if not (m[0].endswith("/>") and tag not in _BLOCK):
+        _named(new, attrs, tag == "header" and bool(open_tags.get("article")))
+        if not (attrs.endswith("/") and tag not in _BLOCK):
+            open_tags[tag] = open_tags.get(tag, 0) + 1
             node = new
-    if at < len(source):
-        node.kids.append(html.unescape(source[at:].split("<", 1)[0] if re.match(r"[^<]*<[a-zA-Z/!]", source[at:]) else source[at:]))
     return root
 
 
@@ -141,7 +217,10 @@ def _measure(root: Node) -> list[Node]:
         kids = [k for k in n.kids if isinstance(k, Node) and not k.drop]
         n.text_n = own + sum(k.text_n for k in kids)
         n.link_n = n.text_n if n.tag == "a" else sum(k.link_n for k in kids)
-    return nodes
+        # A weak name counts where the element is short or mostly links.
+        if n.weak and (n.text_n < 120 or 3 * n.link_n > n.text_n):
+            n.drop, n.text_n, n.link_n = True, 0, 0
+    return [n for n in nodes if not n.drop] if any(n.drop for n in nodes[1:]) else nodes
 
 
 def _own_text(n: Node) -> str:
@@ -158,19 +237,26 @@ def _own_text(n: Node) -> str:
 
 def main_nodes(root: Node) -> list[Node]:
     """The best container and its kept siblings, in page order."""
-    nodes = _measure(root)
+    _measure(root)
+    nodes = _walk(root)
     for n in nodes:
         if n.tag in ("p", "pre", "td", "blockquote", "div", "section", "article", "li", "dd") and n.parent is not None:
             text = _own_text(n)
             if len(text) < 15:
                 continue
             points = 1 + text.count(",") + text.count("，") + min(len(text) / 100, 30)
+            n.total += points
             n.parent.score += points
             if n.parent.parent is not None:
                 n.parent.parent.score += points / 2
             if n.tag in ("div", "section", "article"):
                 n.score += points
     best = None
+    for n in reversed(nodes):
+        share = 1 - n.link_n / n.text_n if n.text_n else 0.0
+        n.total *= share
+        if n.parent is not None:
+            n.parent.total += n.total
     for n in nodes:
         if n.tag == "article" or n.tag == "main":
             n.score *= 1.25
@@ -180,28 +266,35 @@ def main_nodes(root: Node) -> list[Node]:
     if best is None:
         texts = [n for n in nodes if n.tag in _BLOCK | {"html"} and _own_text(n) and n.link_n <= n.text_n / 2]
         return texts[:1] if not texts else [root]
-    up = best.parent
-    while up is not None:  # parts of one article, each in a container of its own, are kept as one
-        if up.tag == "article":
-            return [up]
-        up = up.parent
-    if best.parent is None or best.tag in ("article", "main"):
-        return [best] if best.parent is None or best.tag == "main" else [s for s in _siblings(best)]
-    return _siblings(best)
-
-
-def _siblings(best: Node) -> list[Node]:
-    out = []
-    least = max(10.0, best.score * 0.2)
-    for s in best.parent.kids:
-        if s is best:
-            out.append(s)
-        elif isinstance(s, Node) and not s.drop and s.tag in _BLOCK and s.text_n:
-            links = s.link_n / s.text_n
-            prose = s.tag == "p" and (s.text_n > 80 and links < 0.25 or s.text_n <= 80 and s.link_n == 0)
-            if s.score >= least or prose or re.fullmatch("h[1-6]", s.tag) and links == 0:
-                out.append(s)
-    return out
+    return _with_siblings(best)
+
+
+def _with_siblings(best: Node) -> list[Node]:
+    """The container and, level by level up to the root, what stands beside it and belongs to the article.
+
+    Beside the container itself: paragraphs of prose, headings without links and containers that
+    score a fifth as much. Further up: containers whose paragraphs are worth a fifth of what is
+    kept so far, and a first heading above it.
+    """
+    kept, node, worth = [best], best, best.total
+    while node.parent is not None:
+        before, after, seen = [], [], False
+        for s in node.parent.kids:
+            if s is node:
+                seen = True
+            elif isinstance(s, Node) and not s.drop and s.tag in _BLOCK and s.text_n and 2 * s.link_n <= s.text_n:
+                links = s.link_n / s.text_n
+                if node is best:
+                    prose = s.tag == "p" and (s.text_n > 80 and links < 0.25 or s.text_n <= 80 and s.link_n == 0)
+                    joins = prose or s.score >= max(10.0, best.score * 0.2) or re.fullmatch("h[1-6]", s.tag) and links == 0
+                else:
+                    joins = s.total >= max(2.0, worth * 0.2) or s.tag in ("h1", "header", "hgroup") and links == 0 and not seen
+                if joins:
+                    (after if seen else before).append(s)
+                    worth += s.total
+        kept = before + kept + after
+        node = node.parent
+    return kept
 
 
 def blocks(nodes: list[Node]) -> list[str]:
@@ -243,22 +336,27 @@ def extract(df: DataFrame, html_col: str = "html", into: str = "text") -> DataFr
     """df with column `into`: the main text of each page, empty where there is none.
 
     Null or empty html gives an empty text; repeated rows stay; nulls in other columns stay.
-    A column of df named like `into` is replaced.
+    A column of df named like `into` is replaced. An empty table gives an empty one.
     """
     small_batches(df.sparkSession)
     keep = [c for c in df.columns if c != into]
-    source = df.select(*[F.col(f"`{c}`") for c in keep])
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema), f"`{into}` string"])
+    source = df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{html_col}`").alias(f"{into}_"))
+    schema = ", ".join([*(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep), f"`{into}` string"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = pa.array(map(main_text, batch.column(keep.index(html_col)).to_pylist()), pa.string())
-            yield pa.record_batch([*batch.columns, texts], names=[*keep, into])
+            texts = pa.array((main_text(x.as_py()) for x in batch.column(len(keep))), pa.string())
+            yield pa.record_batch([*batch.columns[:-1], texts], names=[*keep, into])
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(lean(run), schema)
 
 
 def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """page_id, url, text, n_chars of every page.
+
+    Null and empty html give an empty text and 0; repeated rows stay, null ids and urls stay null, and an
+    empty table gives no rows.
+    """
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
     return extract(pages).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 

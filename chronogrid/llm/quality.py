@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import by_value, materialize, table
+from .common import by_value, lean, materialize, table
 from .tokens import small_batches
 
 N_FEATURES = 9
@@ -49,7 +49,7 @@ def _features(docs: DataFrame, columns: list[str], text_col: str) -> DataFrame:
             x = pa.array([features(t) for t in batch.column(len(columns)).to_pylist()], pa.list_(pa.float64()))
             yield pa.record_batch([*batch.columns[:-1], x], names=[*columns, "_x"])
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(lean(run), schema)
 
 
 def fit(rows: list[tuple[list[float], int]]) -> tuple[list[float], float]:
