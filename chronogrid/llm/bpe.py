@@ -165,6 +165,7 @@ def bpe_decode(df: DataFrame, path: str | None = None, ids_col: str = "ids", int
 
 
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every document; null and empty texts have no ids, an empty table gives no rows."""
     out = bpe_decode(bpe_encode(table(spark, sf_dir, "documents")))
     return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 

@@ -65,6 +65,7 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
 
 
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, keep_id, group_size, kept, text_sha256 of every document; null, empty and blank texts are one group, an empty table gives no rows."""
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 

@@ -360,7 +360,27 @@ def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
 
 
 def op8_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept of every document.
+
+    Null, empty and blank texts have 0 shingles and are components of their own; repeated rows are linked as
+    equal texts, of which one is kept; an empty table gives no rows.
+    """
     return near_groups(table(spark, sf_dir, "documents"), shingle=3, percent=85)
 
 
+#: All pairs by common shingles, then everything reachable; DuckDB.
+OP8_SQL = r"""
+with recursive t as (select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') as w from documents),
+     s as (select distinct doc_id, array_to_string(w[i:i + 2], ' ') as k from (select doc_id, w, unnest(generate_series(1, greatest(len(w) - 2, 1))) as i from t where len(w) > 0)),
+     n as (select doc_id, count(*) as n from s group by doc_id),
+     p as (select a.doc_id as a, b.doc_id as b from s a join s b on a.k = b.k and a.doc_id <> b.doc_id
+           join n x on x.doc_id = a.doc_id join n y on y.doc_id = b.doc_id where 100 * y.n >= 85 * x.n and 100 * x.n >= 85 * y.n
+           group by a.doc_id, b.doc_id, x.n, y.n having 100 * count(*) >= 85 * (x.n + y.n - count(*))),
+     r as (select a, b from p union select r.a, p.b from r join p on r.b = p.a)
+select t.doc_id, coalesce(n.n, 0) as n_shingles, least(t.doc_id, coalesce(min(r.b), t.doc_id)) as component_id,
+       t.doc_id = least(t.doc_id, coalesce(min(r.b), t.doc_id)) as kept
+from t left join n on n.doc_id = t.doc_id left join r on r.a = t.doc_id group by t.doc_id, n.n
+"""
+
+
 by_value(__name__)

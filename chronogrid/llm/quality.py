@@ -133,6 +133,7 @@ def quality_filter(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", *
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, doc_prob, host_rate, path_rate, score, kept of every document; null and empty texts are scored too, an empty table gives no rows."""
     return score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 

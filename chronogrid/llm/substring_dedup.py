@@ -255,4 +255,16 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
+#: Every window as a string, all but the first of equal ones gone; DuckDB.
+OP4_SQL = r"""
+with t as (select doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') as w from documents),
+     s as (select doc_id, i, row_number() over (partition by array_to_string(w[i:i + 19], ' ') order by doc_id, i) as rn
+           from (select doc_id, w, unnest(generate_series(1, len(w) - 19)) as i from t where len(w) >= 20)),
+     g as (select distinct doc_id, unnest(generate_series(i, i + 19)) as j from s where rn > 1),
+     v as (select doc_id, unnest(w) as x, unnest(generate_series(1, len(w))) as j from t),
+     k as (select v.doc_id, count(*) as n_words, count(g.j) as n_removed, coalesce(string_agg(x, ' ' order by v.j) filter (g.j is null), '') as kept
+           from v left join g on g.doc_id = v.doc_id and g.j = v.j group by v.doc_id)
+select t.doc_id, coalesce(n_words, 0) as n_words, coalesce(n_removed, 0) as n_removed, sha256(coalesce(kept, '')) as kept_sha256 from t left join k on k.doc_id = t.doc_id
+"""
+
 by_value(__name__)
