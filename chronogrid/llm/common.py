@@ -114,7 +114,7 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 def words(text: Column) -> Column:
     """Words of a text as an array; JVM side."""
-    return F.filter(F.split(text, WS_CLASS + "+"), lambda w: w != "")
+    return F.array_remove(F.split(text, WS_CLASS + "+"), "")
 
 
 by_value(__name__)

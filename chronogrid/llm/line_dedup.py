@@ -51,20 +51,17 @@ def _part(n: Column) -> Column:
     return F.pow(F.lit(2.0), F.floor(F.log2(n / 2) + 1e-9)).cast("int")
 
 
-def _ends() -> Column:
-    """Keys of a line's first and last p words, p = _part(number of words).
+def _ends(least: int) -> list[Column]:
+    """Keys of the first and last p words of lines of `least` words or more, p = _part(number of words); null in others.
 
     One edit leaves one of the two as it was. Where the shorter line of a pair would have half
     the p, both p are used.
     """
     n = F.size("_w")
     p = _part(n)
-    keys = lambda q: [
-        F.struct(F.lit(True).alias("first"), q.alias("p"), F.xxhash64(F.lit("first"), q, F.slice("_w", 1, q)).alias("k")),
-        F.struct(F.lit(False).alias("first"), q.alias("p"), F.xxhash64(F.lit("last"), q, F.slice("_w", n - q + 1, q)).alias("k")),
-    ]
-    more = F.when(p * 2 == n, F.array(*keys((p / 2).cast("int")))).otherwise(F.array().cast("array<struct<first:boolean,p:int,k:bigint>>"))
-    return F.when(n >= 4, F.concat(F.array(*keys(p)), more))
+    half, long = (p / 2).cast("int"), n >= least
+    keys = lambda q: [F.xxhash64(F.lit("first"), q, F.slice("_w", 1, q)), F.xxhash64(F.lit("last"), q, F.slice("_w", n - q + 1, q))]
+    return [F.when(long, k) for k in keys(p)] + [F.when(long & (p * 2 == n), k) for k in keys(half)]
 
 
 def _neighbourhood() -> tuple[Column, Column]:
@@ -129,8 +126,7 @@ def line_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", mi
     docs = distinct_ids(docs)
     lines = _lines(docs)
     distinct = (
-        lines.select(F.xxhash64("_w").alias("_h"), F.hash("_w").alias("_g"), F.size("_w").alias("_n"), _place(F.col("_id"), F.col("_ln")).alias("_place"), _ends().alias("_k"))
-        .select("_h", "_g", "_n", "_place", *[F.get("_k", F.lit(i))["k"].alias(f"_k{i}") for i in range(4)])
+        lines.select(F.xxhash64("_w").alias("_h"), F.hash("_w").alias("_g"), F.size("_w").alias("_n"), _place(F.col("_id"), F.col("_ln")).alias("_place"), *[k.alias(f"_k{i}") for i, k in enumerate(_ends(max(4, min_words)))])
         .groupBy("_h", "_g", "_n")
         .agg(F.min("_place").alias("_place"), *[F.max(f"_k{i}").alias(f"_k{i}") for i in range(4)])
     )
