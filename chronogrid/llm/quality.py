@@ -80,7 +80,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     chosen = labels.select(F.col(id_col).cast("long").alias("_id"), F.col(label_col).cast("int").alias("_y")).dropna()
     chosen = chosen.orderBy(F.xxhash64("_id"), "_id", "_y").limit(most)
     known = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col)).join(F.broadcast(chosen), "_id")
-    return fit([(r["_x"], r["_y"]) for r in _features(known, ["_id", "_y"], text_col).select("_x", "_y").collect()])
+    # Where documents share a labelled id, the join has more rows than were chosen: the bound holds for them too.
+    found = _features(known, ["_id", "_y"], text_col).orderBy(F.xxhash64("_id"), "_id", "_y", F.xxhash64("_x")).limit(most)
+    return fit([(r["_x"], r["_y"]) for r in found.select("_x", "_y").collect()])
 
 
 def _rate(own: Column, total: Column, n: Column, strength: float, prior: Column) -> Column:
