@@ -78,6 +78,26 @@ def common_prefixes(keys: np.ndarray, order: np.ndarray) -> np.ndarray:
     return out
 
 
+class Shift:
+    """x -> x + by, in place of an array of all places."""
+
+    def __init__(self, by: int):
+        self.by = by
+
+    def __getitem__(self, x):
+        return x + self.by
+
+
+def _parts(sizes: np.ndarray, most: int = 1_000_000) -> list[tuple[int, int]]:
+    """Ranges of stretches of about `most` bytes together."""
+    upto, out, a = np.cumsum(sizes), [], 0
+    while a < len(sizes):
+        b = max(a + 1, int(np.searchsorted(upto, (upto[a - 1] if a else 0) + most, "right")))
+        out.append((a, b))
+        a = b
+    return out
+
+
 def _buffer(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """(all bytes one after the other, where each text starts and the last one ends)."""
     first = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
@@ -118,7 +138,10 @@ def suffix_dedup(df: DataFrame, length: int = 200, lead: int = 32, id_col: str =
     docs, _ = keyed_docs(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "id", "text")
     size = text_bytes(docs)
     bits = bucket_bits(size // 40, shuffle_partitions(spark))
-    buckets = 2**bits
+    # Ranges, and beyond what the driver should hold of splitters, parts of them by hash of the leading bytes: about 5 MB of text each.
+    wanted = 2 ** bucket_bits(size // 40, shuffle_partitions(spark), 125_000)
+    buckets = min(2**17, wanted)
+    parts = wanted // buckets
     packed = batched(docs)
 
     def anchored(texts: list[bytes]) -> tuple[np.ndarray, ...]:
@@ -151,7 +174,7 @@ def suffix_dedup(df: DataFrame, length: int = 200, lead: int = 32, id_col: str =
                 continue
             data, first, key, owner, place, start, count = anchored(texts.to_pylist())
             mine = Often(often, bits).of(key) > 1
-            owner, place, start, count = owner[mine], place[mine], start[mine], count[mine]
+            owner, place, start, count, key = owner[mine], place[mine], start[mine], count[mine], key[mine]
             if not len(owner):
                 continue
             # Suffixes with the same bytes on both sides of the anchor: one of them stands for all.
@@ -168,6 +191,7 @@ def suffix_dedup(df: DataFrame, length: int = 200, lead: int = 32, id_col: str =
             wide = high - low > 1
             one["wide"][at] = wide
             to = np.where(wide, low + (sign[at] % (high - low + 1).astype(np.uint64)).astype(np.int64), high)
+            to = to * parts + ((key[at] >> np.uint64(20)) % np.uint64(parts)).astype(np.int64)
             by = np.argsort(to, kind="stable")
             at, to = at[by], to[by]
             edge = [0, *(np.flatnonzero(to[1:] != to[:-1]) + 1).tolist(), len(to)]
@@ -196,9 +220,12 @@ def suffix_dedup(df: DataFrame, length: int = 200, lead: int = 32, id_col: str =
             # Bytes from the anchor on, as far as the windows reach, zeros after them.
             reach = sizes - a
             depth = -(-length // 8)
-            chars = np.concatenate([data, np.zeros(8 * depth, np.uint8)])[(at + a)[:, None] + np.arange(8 * depth)]
-            chars[np.arange(8 * depth) >= reach[:, None]] = 0
-            keys = chars.view(">u8").astype(np.uint64)
+            more = np.concatenate([data, np.zeros(8 * depth, np.uint8)])
+            keys = np.empty((len(one), depth), np.uint64)
+            for x in range(0, len(one), 2048):
+                chars = more[(at + a)[x : x + 2048, None] + np.arange(8 * depth)]
+                chars[np.arange(8 * depth) >= reach[x : x + 2048, None]] = 0
+                keys[x : x + 2048] = chars.view(">u8")
             order = multikey_sort(keys)
             common = common_prefixes(keys, order)
             most = np.empty(len(one), np.int64)
@@ -207,9 +234,12 @@ def suffix_dedup(df: DataFrame, length: int = 200, lead: int = 32, id_col: str =
             # Window j has length - a + j bytes from the anchor on: those in which a neighbour agrees remain.
             left = np.clip(most - length + a + 1, 0, n)
             where, r = spread(at, left), np.repeat(np.arange(len(one)), left)
-            h = between(sums(data.astype(np.uint64) + np.uint64(1), _STEP), where, where + length, _STEP) if len(where) else np.zeros(0, np.uint64)
-            begin = np.arange(len(data))
-            first, twice = alike(h, data, where, begin, begin + length)
+            h, upto = np.empty(len(where), np.uint64), np.concatenate([[0], np.cumsum(left)])
+            for x, y in _parts(sizes):
+                own, from_at = slice(int(upto[x]), int(upto[y])), int(at[x])
+                some = sums(data[from_at : int(at[y - 1] + sizes[y - 1])].astype(np.uint64) + np.uint64(1), _STEP)
+                h[own] = between(some, where[own] - from_at, where[own] - from_at + length, _STEP)
+            first, twice = alike(h, data, where, Shift(0), Shift(length))
             # A suffix seen before in its batch: its windows go, and so do their equals.
             twice |= np.bincount(first, one["twice"][r], len(first))[first] > 0
             start = one["s"][r] + (where - at[r])
@@ -220,7 +250,7 @@ def suffix_dedup(df: DataFrame, length: int = 200, lead: int = 32, id_col: str =
                 met = np.empty(len(pick), WINDOW)
                 met["h"] = [hashlib.blake2b(data[x : x + length].tobytes(), digest_size=16, key=b"1").digest() for x in where[pick].tolist()]
                 met["b"], met["i"], met["s"], met["twice"] = np.array(numbers, np.int64)[row[r[pick]]], one["i"][r[pick]], start[pick], twice[pick]
-                spot = np.frombuffer(met["h"].tobytes(), "<u8")[::2] % np.uint64(buckets)
+                spot = np.frombuffer(met["h"].tobytes(), "<u8")[::2] % np.uint64(wanted)
                 for s in np.unique(spot).tolist():
                     across.append((s, met[spot == s].tobytes()))
         rows = [(b, bucket_of(b, bits), None, x) for b, x in gone] + [(0, s, x, None) for s, x in across]
