@@ -36,11 +36,8 @@ def parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Canonical records, parsed once for each table folder and written as Parquet, so that lon and lat are pruned by statistics."""
 
     def write(path: str) -> None:
-        out = S.canonical(S.fixture_raw(spark, sf_dir))
-        # A table of one file would be one task for good; the planner's estimate needs no job.
-        size = int(str(out._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-        cores = spark.sparkContext.defaultParallelism
-        (out.repartition(cores) if size < cores * 2**27 else out).write.parquet(path)
+        # Even files: without an exchange of the records themselves their number is that of the last join's tasks, one at times.
+        S.canonical(S.fixture_raw(spark, sf_dir)).hint("rebalance").write.parquet(path)
 
     return spark.read.schema(RECORDS).parquet(_once(spark, sf_dir, "records", write))
 
