@@ -1,11 +1,13 @@
 """Exact dedup by skew-safe combining, with DataFrame functions only.
 
-Local: the partial aggregate of each input task keeps one row per text of that task.
-Salted: those rows are merged per (digest, text, salt), so a text that a third of all rows
+Local: the partial aggregate of each input task keeps at most `salts` rows per text of that
+task. Salted: those rows are merged per (digest, text, salt), so a text that a third of all rows
 share is merged by `salts` tasks. Global: the at most `salts` winners of a text are merged.
 The full normalised text is a grouping key at every stage, so equality is never a matter of
 digests. Rows then find their group by three fingerprints of the text (SHA-256, a 64-bit
-hash, length); should two different texts ever share all three, the query raises an error.
+hash, length) and one of 64 lanes, a group being there once for each lane its rows have, so that
+the rows of one text meet their group in up to 64 tasks. Should two different texts ever share
+all three fingerprints, the query raises an error.
 """
 
 from __future__ import annotations
@@ -17,6 +19,7 @@ from .common import WS_CLASS, id_text, table
 
 _TOP = "9223372036854775807"
 _STEP = "20000000000000000000"
+_LANES = 64
 
 
 def _priority(length: Column, row_id: Column) -> Column:
@@ -37,23 +40,27 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     text = F.regexp_replace("_text", WS_CLASS + "+", "")
     rows = id_text(df, id_col, text_col).select("_id", F.length("_text").alias("_len"), text.alias("_norm"))
     rows = rows.withColumn("_digest", F.unhex(F.sha2(F.col("_norm").cast("binary"), 256)))
-    keyed = rows.withColumn("_salt", F.pmod(F.xxhash64(F.coalesce("_id", F.lit(-1))), F.lit(salts)).cast("int"))
-    salted = keyed.groupBy("_digest", "_norm", "_salt").agg(
-        F.max(_priority(F.col("_len"), F.col("_id"))).alias("_best"), F.count(F.lit(1)).alias("_n")
+    rows = rows.withColumn("_lane", F.pmod(F.xxhash64(F.coalesce("_id", F.lit(-1))), F.lit(_LANES)).cast("int"))
+    # The lanes of a text are the bits of a number, which is cheaper than a set of them.
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("_lane"))
+    salted = rows.groupBy("_digest", "_norm", (F.col("_lane") % salts).alias("_salt")).agg(
+        F.max(_priority(F.col("_len"), F.col("_id"))).alias("_best"), F.count(F.lit(1)).alias("_n"), F.bit_or(bit).alias("_bits")
     )
-    whole = salted.groupBy("_digest", "_norm").agg(F.max("_best").alias("_best"), F.sum("_n").alias("_n"))
+    whole = salted.groupBy("_digest", "_norm").agg(F.max("_best").alias("_best"), F.sum("_n").alias("_n"), F.bit_or("_bits").alias("_bits"))
     prints = lambda d: [d["_digest"], F.xxhash64(d["_norm"]).alias("_h"), F.length(d["_norm"]).alias("_w")]
     groups = (
-        whole.select(*prints(whole), "_best", "_n")
+        whole.select(*prints(whole), "_best", "_n", "_bits")
         .groupBy("_digest", "_h", "_w")
-        .agg(F.max("_best").alias("_best"), F.sum("_n").alias("_n"), F.count(F.lit(1)).alias("_texts"))
+        .agg(F.max("_best").alias("_best"), F.sum("_n").alias("_n"), F.bit_or("_bits").alias("_bits"), F.count(F.lit(1)).alias("_texts"))
         .withColumn("_n", F.when(F.col("_texts") == 1, F.col("_n")).otherwise(F.raise_error(F.lit("two texts share all fingerprints"))))
     )
+    has = lambda i: F.getbit(F.col("_bits"), i) == 1
+    groups = groups.withColumn("_lane", F.explode(F.filter(F.sequence(F.lit(0), F.lit(_LANES - 1)), has))).drop("_bits")
     after = (F.col("_best") % F.lit(_STEP).cast("decimal(21,0)")).cast("decimal(21,0)")
     keep = F.when(after != 0, (F.lit(_TOP).cast("decimal(20,0)") - after + 1).cast("long"))
     return (
-        rows.select(*prints(rows), "_id", "_len")
-        .join(groups.withColumn("_keep", keep), ["_digest", "_h", "_w"])
+        rows.select(*prints(rows), "_lane", "_id", "_len")
+        .join(groups.withColumn("_keep", keep), ["_digest", "_h", "_w", "_lane"])
         .select(
             F.col("_id").alias(id_col),
             F.col("_keep").alias("keep_id"),
