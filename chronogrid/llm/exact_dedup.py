@@ -39,8 +39,9 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     """
     text = F.regexp_replace("_text", WS_CLASS + "+", "")
     rows = id_text(df, id_col, text_col).select("_id", F.length("_text").alias("_len"), text.alias("_norm"))
-    rows = rows.withColumn("_digest", F.unhex(F.sha2(F.col("_norm").cast("binary"), 256)))
-    rows = rows.withColumn("_lane", F.pmod(F.xxhash64(F.coalesce("_id", F.lit(-1))), F.lit(_LANES)).cast("int"))
+    # Neither is ever null; said so that the planner filters on neither, and makes no text and digest twice for it.
+    rows = rows.withColumn("_digest", F.coalesce(F.unhex(F.sha2(F.col("_norm").cast("binary"), 256)), F.lit(b"")))
+    rows = rows.withColumn("_lane", F.xxhash64(F.coalesce("_id", F.lit(-1))).bitwiseAND(_LANES - 1).cast("int"))
     # The lanes of a text are the bits of a number, which is cheaper than a set of them.
     bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("_lane"))
     salted = rows.groupBy("_digest", "_norm", (F.col("_lane") % salts).alias("_salt")).agg(
