@@ -27,6 +27,8 @@ from .common import distinct_ids, materialize, table, words
 #: Stands for a null id, which ranks after all others.
 _LAST = 2**63 - 1
 _STRIDE = "4294967296"
+#: Found in lines that have a word.
+_WORDY = r"[^\x20\x09-\x0D]"
 
 
 def _place(row_id: Column, line: Column) -> Column:
@@ -43,7 +45,9 @@ def _id_of(place: Column) -> Column:
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    return docs.select("_id", F.posexplode(F.split("_text", "\n")).alias("_ln", "_line")).select("_id", "_ln", words(F.col("_line")).alias("_w")).filter(F.size("_w") > 0)
+    lines = docs.select("_id", F.posexplode(F.split("_text", "\n")).alias("_ln", "_line"))
+    # A filter on the words would be moved before them and split each line twice.
+    return lines.filter(F.col("_line").rlike(_WORDY)).select("_id", "_ln", words(F.col("_line")).alias("_w"))
 
 
 def _part(n: Column) -> Column:
@@ -174,7 +178,7 @@ def line_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", mi
     stay = kept.select(_id_of(F.col("_place")).alias("_id"), _line_of(F.col("_place")).alias("_ln")).groupBy("_id").agg(F.collect_list("_ln").alias("_stay"))
     out = docs.join(stay, "_id", "left")
     out = out.withColumn("_all", F.split("_text", "\n"))
-    out = out.withColumn("_left", F.filter("_all", lambda line, i: F.coalesce(F.array_contains("_stay", i), F.lit(False)) | ~line.rlike(r"[^\x20\x09-\x0D]")))
+    out = out.withColumn("_left", F.filter("_all", lambda line, i: F.coalesce(F.array_contains("_stay", i), F.lit(False)) | ~line.rlike(_WORDY)))
     fields = [F.array_join("_left", "\n").alias(c) if c == text_col else F.col("_more")[c].alias(c) for c in df.columns if c not in ("n_lines", "n_removed")]
     return out.select(*fields, F.size("_all").cast("long").alias("n_lines"), (F.size("_all") - F.size("_left")).cast("long").alias("n_removed"))
 
