@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -141,62 +142,56 @@ def tokens(source: str) -> Iterator[tuple[str, str, str, str]]:
 
 
 def read_tree(source: str) -> Node:
-    """The page's tree; texts are strings among `kids`. Unclosed and stray tags are tolerated."""
-    root = node = Node("html", None)
-    open_tags: dict[str, int] = {}  # how many elements of each tag stand open, so a stray end tag costs nothing
+    """The page's tree; texts are strings among `kids`. Unclosed and stray tags are tolerated.
 
-    def leave(to: Node) -> Node:
-        nonlocal node
-        while node is not to:
-            open_tags[node.tag] -= 1
-            node = node.parent
-        return node
+    No tag looks through the open elements: their depths are kept by tag, so time is linear in
+    the page but for the depths searched by bisection.
+    """
+    root = Node("html", None)
+    path = [root]  # the open elements
+    open_at: dict[str, list[int]] = {}  # depths at which elements of a tag stand open
+    block_at = [0]  # those of blocks, and of the root
+
+    def leave(depth: int) -> None:
+        while len(path) > depth + 1:
+            gone = path.pop().tag
+            open_at[gone].pop()
+            if gone in _BLOCK:
+                block_at.pop()
 
     for text, slash, tag, attrs in tokens(source):
         if not tag:
-            node.kids.append(html.unescape(text))
+            path[-1].kids.append(html.unescape(text))
             continue
         if tag in ("html", "body") and slash != "/":
             if attrs:
                 mark = Node("div", None)
                 _named(mark, attrs, False)
-                node.drop = node.drop or mark.drop and "hidden" not in attrs
+                path[-1].drop = path[-1].drop or mark.drop and "hidden" not in attrs
             continue
         if slash == "/":
-            if not open_tags.get(tag):
-                continue
-            up = node
-            while up is not None and up.tag != tag:
-                if tag not in _BLOCK and up.tag in _BLOCK:  # an inline end tag doesn't close blocks
-                    up = None
-                    break
-                up = up.parent
-            if up is not None and up.parent is not None:
-                leave(up.parent)
+            # An inline end tag doesn't close blocks.
+            if open_at.get(tag) and (tag in _BLOCK or open_at[tag][-1] > block_at[-1]):
+                leave(open_at[tag][-1] - 1)
             continue
-        if tag in _BLOCK:
-            p = node
-            while p.tag not in _BLOCK and p.parent is not None:
-                p = p.parent
-            leave(p.parent if p.tag == "p" and p.parent is not None else p)  # a block ends inline elements and an open paragraph
+        if tag in _BLOCK:  # ends inline elements and an open paragraph
+            leave(block_at[-1] - (path[block_at[-1]].tag == "p"))
         if tag in _CLOSES:
             own, stop = _CLOSES[tag]
-            if any(open_tags.get(t) for t in own):
-                up, hit = node, None
-                while up is not None and up.tag not in stop:
-                    if up.tag in own:
-                        hit = up
-                    up = up.parent
-                if hit is not None and hit.parent is not None:
-                    leave(hit.parent)
-        new = Node(tag, node)
-        node.kids.append(new)
+            least = max((open_at[t][-1] for t in stop if open_at.get(t)), default=0)
+            hits = [open_at[t][bisect_right(open_at[t], least)] for t in own if open_at.get(t) and open_at[t][-1] > least]
+            if hits:
+                leave(min(hits) - 1)
+        new = Node(tag, path[-1])
+        path[-1].kids.append(new)
         if tag in _VOID:
             continue
-        _named(new, attrs, tag == "header" and bool(open_tags.get("article")))
+        _named(new, attrs, tag == "header" and bool(open_at.get("article")))
         if not (attrs.endswith("/") and tag not in _BLOCK):
-            open_tags[tag] = open_tags.get(tag, 0) + 1
-            node = new
+            open_at.setdefault(tag, []).append(len(path))
+            if tag in _BLOCK:
+                block_at.append(len(path))
+            path.append(new)
     return root
 
 

@@ -454,3 +454,23 @@ def test_packing_cuts_little(spark):
     fit = [i for i in n if total[i] <= 1024]
     assert sum(len(n[i]) > 1 for i in fit) < 0.6 * len(fit)
     assert sum(r.length for r in rows) > 0.97 * 1024 * len({r.sequence_id for r in rows})
+
+
+def test_html_nesting_takes_linear_time():
+    import time
+
+    for page in (lambda n: "<li><ul>" + "<div>" * n + "<li>a" * n, lambda n: "<div><i><div>" + "<b>" * n + "x, y</i>" * n, lambda n: "<p>word, <a href=q>" * n):
+        began = time.time()
+        html_text.main_text(page(40_000))
+        assert time.time() - began < 10
+
+
+def test_html_end_tags_and_implied_ends():
+    def tree(n):
+        return n.tag, [k if isinstance(k, str) else tree(k) for k in n.kids]
+
+    read = lambda s: tree(html_text.read_tree(s))[1]
+    assert read("<i><div><b>x</i>y</b>z</div>") == [("i", []), ("div", [("b", ["x", "y"]), "z"])]  # a block ends inline elements, their end tag no block
+    assert read("<ul><li>a<ul><li>b<li>c</ul><li>d</ul>") == [("ul", [("li", ["a", ("ul", [("li", ["b"]), ("li", ["c"])])]), ("li", ["d"])])]
+    assert read("<p>a<p>b</x></p>") == [("p", ["a"]), ("p", ["b"])]
+    assert read("<table><tr><td>a<tr><td>b</table>") == [("table", [("tr", [("td", ["a"])]), ("tr", [("td", ["b"])])])]
