@@ -154,7 +154,7 @@ def _documents(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def _groups(rows_of: DataFrame, shingle: int, percent: int, bands: int, rows: int, samples: int) -> DataFrame:
     """(_id, _n: number of shingles, _component: least _id of the row's component) of rows with distinct _id."""
     spark = rows_of.sparkSession
-    small_batches(spark)
+    small_batches(spark, 4 * 2**20)  # hashes of words and bands take many times the text
     docs = rows_of.select("_id", "_text")
     a, b = _family(samples)
 
