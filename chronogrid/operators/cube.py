@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.config import MAX_COMBO, Grid, TimeSlice
-from .grid import assign_cells
+from .grid import assign_cells, cell
 
 
 def time_slices(spark: SparkSession, slices: list[TimeSlice]) -> DataFrame:
@@ -44,6 +44,22 @@ def tag_sets(tags: Column, most: int, least: int = 0, containing: list[str] | No
 KEYS = ["resolution", "slice_key", "record_type", "tag_key", "tag_parts", "row", "col", "cell_idx"]
 
 
+def _holding(features: DataFrame, least: int, containing: list[str] | None) -> DataFrame:
+    """The records that have any of the combinations asked for."""
+    if least > 0:
+        features = features.filter(F.size("tags") >= least)
+    if containing:  # others have no such combination
+        features = features.filter(F.forall(F.array(*map(F.lit, containing)), lambda t: F.array_contains("tags", t)))
+    return features
+
+
+def _single(lists: DataFrame, plain: list[str], least: int) -> DataFrame:
+    """Single tags, and the base unless `least` is 1, of counts by tag list."""
+    one = F.explode("tags") if least else F.explode(F.concat(F.array(F.lit(None).cast("string")), "tags"))
+    found = lists.select(*plain, "_n", one.alias("_tag")).groupBy(*plain, "_tag").agg(F.sum("_n").alias("cnt"))
+    return found.withColumn("tag_parts", F.when(F.col("_tag").isNull(), F.array().cast("array<string>")).otherwise(F.array("_tag")))
+
+
 def _counted(features: DataFrame, place: Callable[[DataFrame], DataFrame], keys: list[str], most: int, least: int, containing: list[str] | None) -> DataFrame:
     """Incidences by `keys` (with tag_key and tag_parts) of the rows that `place` makes of records; the key string is made once for each group.
 
@@ -53,18 +69,13 @@ def _counted(features: DataFrame, place: Callable[[DataFrame], DataFrame], keys:
     small enough).
     """
     plain = [k for k in keys if k not in ("tag_key", "tag_parts")]
-    if least > 0:
-        features = features.filter(F.size("tags") >= least)
-    if containing:  # others have no such combination
-        features = features.filter(F.forall(F.array(*map(F.lit, containing)), lambda t: F.array_contains("tags", t)))
+    features = _holding(features, least, containing)
     if most == 0:
         return place(features).groupBy(*plain).agg(F.count(F.lit(1)).alias("cnt")).withColumn("tag_parts", F.array().cast("array<string>")).withColumn("tag_key", F.lit("")).select(*keys, "cnt")
     features = features.withColumn("tags", F.sort_array("tags"))
     lists = place(features).groupBy(*plain, "tags").agg(F.count(F.lit(1)).alias("_n"))
     if most == 1 and not containing:
-        one = F.explode("tags") if least else F.explode(F.concat(F.array(F.lit(None).cast("string")), "tags"))
-        found = lists.select(*plain, "_n", one.alias("_tag")).groupBy(*plain, "_tag").agg(F.sum("_n").alias("cnt"))
-        found = found.withColumn("tag_parts", F.when(F.col("_tag").isNull(), F.array().cast("array<string>")).otherwise(F.array("_tag")))
+        found = _single(lists, plain, least)
     else:
         sets = features.select("tags").distinct().withColumn("_sets", tag_sets(F.col("tags"), most, least, containing))
         # An inner explode would push "has any set" down, and so make the sets of every record.
@@ -73,10 +84,55 @@ def _counted(features: DataFrame, place: Callable[[DataFrame], DataFrame], keys:
 
 
 def counts(features: DataFrame, slices: list[TimeSlice], grids: list[Grid], most: int = MAX_COMBO, least: int = 0, containing: list[str] | None = None) -> DataFrame:
-    """The sparse cube: incidences by resolution, slice, type, tag key and cell, with map-side combining."""
+    """The sparse cube: incidences by resolution, slice, type, tag key and cell, with map-side combining on coarse grids."""
+    if most > 0 and max(g.rows * g.cols for g in grids) > FINE:
+        return _counted_by_block(features, slices, grids, most, least, containing)
     return _counted(features, lambda f: assign_slices(assign_cells(f, grids), slices), KEYS, most, least, containing)
 
 
+#: Cells of a grid from which on map-side combining by cell and tag list leaves about as many rows as it gets.
+FINE = 1024
+#: About so many blocks of neighbouring cells a grid is dealt out by.
+BLOCKS = 600
+
+
+def _counted_by_block(features: DataFrame, slices: list[TimeSlice], grids: list[Grid], most: int, least: int, containing: list[str] | None) -> DataFrame:
+    """What `_counted` returns, for fine grids: each record is shuffled once, as a short row, for all its slices and grids.
+
+    Records go to blocks of neighbouring cells of the finest grid and are counted there by slice, cell
+    of each grid and tag list; these counts, which are bounded by cells and lists, go by slice and
+    cell, so that tags and combinations are made and summed up where the lists lie, without a
+    shuffle of their own.
+    """
+    fine = max(range(len(grids)), key=lambda i: grids[i].rows * grids[i].cols)
+    side = max(1, int((grids[fine].rows * grids[fine].cols / BLOCKS) ** 0.5))
+    # A slice's end is at or after a start if and only if it is so for the first of all ends that is; likewise its start.
+    first = F.array_min(F.filter(F.array(*[F.lit(s.end) for s in slices]), lambda y: y >= F.col("start_year")))
+    last = F.array_max(F.filter(F.array(*[F.lit(s.start) for s in slices]), lambda y: y <= F.col("end_year")))
+    ats = [f"_at{i}" for i in range(len(grids))]
+    rows = _holding(features, least, containing).select("record_type", F.sort_array("tags").alias("tags"), first.alias("_first"), last.alias("_last"), *[cell(g)["cell_idx"].alias(a) for g, a in zip(grids, ats, strict=True)])
+    rows = rows.filter(F.col("_first").isNotNull() & F.col("_last").isNotNull() & F.coalesce(*ats).isNotNull())
+    n = grids[fine].cols
+    block = F.floor(F.col(ats[fine]) / (n * side)) * n + F.floor(F.col(ats[fine]) % n / side)
+    rows = rows.withColumn("_block", F.coalesce(block, -1 - F.coalesce(*ats).cast("long"))).repartition("_block", "record_type")
+
+    touched = F.filter(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(s.start).alias("start"), F.lit(s.end).alias("end")) for i, s in enumerate(slices)]), lambda s: (F.col("_first") <= s["end"]) & (F.col("_last") >= s["start"]))
+    places = F.filter(F.array(*[F.struct(F.lit(i).alias("grid"), F.col(a).alias("cell")) for i, a in enumerate(ats)]), lambda p: p["cell"].isNotNull())
+    each = rows.select("_block", "record_type", "tags", F.explode(F.transform(touched, lambda s: s["i"])).alias("_slice"), *ats).select("_block", "record_type", "tags", "_slice", F.explode(places).alias("_place"))
+    keys = ["_grid", "_cell", "_slice", "record_type"]
+    lists = each.select("_block", F.col("_place.grid").alias("_grid"), F.col("_place.cell").alias("_cell"), "_slice", "record_type", "tags").groupBy("_block", *keys, "tags").agg(F.count(F.lit(1)).alias("_n"))
+    lists = lists.repartition(*keys).groupBy(*keys, "tags").agg(F.sum("_n").alias("_n"))
+    if most == 1 and not containing:
+        found = _single(lists, keys, least)
+    else:
+        # Outer here too, so that no record's sets are made below.
+        found = lists.select(*keys, "_n", F.explode_outer(tag_sets(F.col("tags"), most, least, containing)).alias("tag_parts")).filter("tag_parts is not null").groupBy(*keys, "tag_parts").agg(F.sum("_n").alias("cnt"))
+
+    of = lambda values, i: F.get(F.array(*map(F.lit, values)), F.col(i))
+    named = {"resolution": of([g.name for g in grids], "_grid"), "slice_key": of([s.key for s in slices], "_slice"), "cell_idx": F.col("_cell"), "tag_key": F.array_join("tag_parts", "+"), "_cols": of([g.cols for g in grids], "_grid")}
+    return found.withColumns(named).withColumns({"row": F.floor(F.col("_cell") / F.col("_cols")).cast("int"), "col": F.col("_cell") % F.col("_cols")}).select(*KEYS, "cnt")
+
+
 def incidences(features: DataFrame, slices: list[TimeSlice], grid: Grid, most: int = MAX_COMBO, least: int = 0, containing: list[str] | None = None) -> DataFrame:
     """(record_type, tag_key, tag_parts, slice_key, cnt): what a histogram holds, without cells: in-grid records by slice."""
     place = lambda f: assign_slices(assign_cells(f, [grid]).select("record_type", "tags", "start_year", "end_year"), slices)

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from chronogrid.functions import text as X
-from chronogrid.functions.config import GRIDS, PRIMARY, RAW_BOUNDS, TimeSlice
+from chronogrid.functions.config import GRIDS, PRIMARY, RAW_BOUNDS, Bounds, Grid, TimeSlice
 from chronogrid.operators import cube as C
 from chronogrid.operators import grid as G
 from chronogrid.plans import catalogue, service
@@ -164,3 +164,32 @@ def test_histograms_of_the_first_tags(spark):
 def test_tag_maps_on_every_grid(spark, name):
     assert {r.resolution for r in catalogue.QUERIES[name](spark, SF).select("resolution").distinct().collect()} == {g.name for g in GRIDS}
     test_query_equals_its_sql(spark, name)
+
+
+def test_fine_grids_shuffle_records_and_lists_only(spark):
+    """Over a fine grid nothing is shuffled by tag or combination, and records go out before they are multiplied by slices and grids."""
+    f = catalogue.features(spark, SF)
+    for most, least in ((1, 1), (4, 2), (4, 0)):
+        plan = C.counts(f, catalogue.SLICES, GRIDS, most, least)._jdf.queryExecution().executedPlan().toString().split("\n")
+        exchanges = [i for i, x in enumerate(plan) if "Exchange" in x]
+        assert len(exchanges) == 2 and not any(k in plan[i] for i in exchanges for k in ("tag_parts", "_tag#"))
+        assert not any("Generate" in x or "Join" in x for x in plan[exchanges[-1] :])
+
+
+@pytest.mark.parametrize("most,least,containing", [(1, 0, None), (1, 1, None), (2, 2, None), (3, 0, None), (2, 1, ["b"]), (1, 1, ["b"])])
+def test_counts_by_block_equal_counts_by_list(spark, most, least, containing):
+    """Also off some of the grids, with repeated tags, none, periods before, between, around and after the slices, or backwards."""
+    small = Bounds(4.85, 4.9, 52.3, 52.35)
+    grids = [Grid(40, 40, small), GRIDS[2], Grid(3, 5, Bounds(0.0, 10.0, 50.0, 54.0))]
+    slices = [TimeSlice(1990, 1995), TimeSlice(1950, 1960), TimeSlice(1995, 1996), TimeSlice(1940, 1992)]
+    points = [(4.8502, 52.3002), (4.9, 52.35), (4.87, 52.32), (4.95, 52.4), (1.0, 51.0), (20.0, 20.0)]
+    tags = [[], ["a"], ["b", "a"], ["a", "b", "b"], ["c", "b", "a", "d"]]
+    periods = [(1900, 1930), (1930, 1945), (1961, 1970), (1993, 1994), (1995, 1995), (1900, 2000), (1997, 2005), (1995, 1951), (2000, 1900), (None, 1990)]
+    rows = [(t, x, y, g, a, b) for t in ("image", "text") for x, y in points for g in tags for a, b in periods]
+    f = spark.createDataFrame(rows, "record_type string, lon double, lat double, tags array<string>, start_year int, end_year int")
+    assert max(g.rows * g.cols for g in grids) > C.FINE
+    got = C.counts(f, slices, grids, most, least, containing)
+    want = C._counted(f, lambda x: C.assign_slices(G.assign_cells(x, grids), slices), C.KEYS, most, least, containing)
+    assert got.dtypes == want.dtypes
+    key = lambda r: tuple(map(repr, r))
+    assert sorted(map(tuple, got.collect()), key=key) == sorted(map(tuple, want.collect()), key=key) != []
