@@ -27,7 +27,8 @@ def _once(spark: SparkSession, sf_dir: str, name: str, write: Callable[[str], No
     key = (spark.sparkContext.applicationId, sf_dir, name)
     if key not in _written:
         path = f"{store.shared_dir(spark)}/chronogrid/{uuid.uuid4().hex}"
-        write(path)
+        with store.shuffles_freed(spark):
+            write(path)
         _written[key] = path
     return _written[key]
 

@@ -1,5 +1,8 @@
 """Unit rows for what the derived tables don't hold, and queries against their SQL."""
 
+import time
+from pathlib import Path
+
 import duckdb
 import pytest
 from pyspark.sql import functions as F
@@ -193,3 +196,19 @@ def test_counts_by_block_equal_counts_by_list(spark, most, least, containing):
     assert got.dtypes == want.dtypes
     key = lambda r: tuple(map(repr, r))
     assert sorted(map(tuple, got.collect()), key=key) == sorted(map(tuple, want.collect()), key=key) != []
+
+
+def test_stored_tables_leave_no_shuffle_files(spark, tmp_path):
+    """What ingest and store shuffle is deleted when each write ends, so that it doesn't add to the disk of what follows."""
+    places = [str(d) for d in spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()]
+    there = lambda: {p for d in places for p in Path(d).rglob("shuffle_*.data")}
+    sf = tmp_path / "sf"
+    sf.symlink_to(SF)  # a folder of its own, that no other test has ingested
+    before = there()
+    catalogue.parsed(spark, str(sf))
+    catalogue.stored(spark, str(sf))
+    for _ in range(100):
+        if not (left := there() - before):
+            break
+        time.sleep(0.1)
+    assert not left and spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
