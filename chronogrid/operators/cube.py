@@ -53,11 +53,14 @@ def _holding(features: DataFrame, least: int, containing: list[str] | None) -> D
     return features
 
 
-def _single(lists: DataFrame, plain: list[str], least: int) -> DataFrame:
-    """Single tags, and the base unless `least` is 1, of counts by tag list."""
-    one = F.explode("tags") if least else F.explode(F.concat(F.array(F.lit(None).cast("string")), "tags"))
-    found = lists.select(*plain, "_n", one.alias("_tag")).groupBy(*plain, "_tag").agg(F.sum("_n").alias("cnt"))
-    return found.withColumn("tag_parts", F.when(F.col("_tag").isNull(), F.array().cast("array<string>")).otherwise(F.array("_tag")))
+def _one(least: int) -> Column:
+    """A row for each tag of a list, and a null one for the base unless `least` is 1."""
+    return (F.explode("tags") if least else F.explode(F.concat(F.array(F.lit(None).cast("string")), "tags"))).alias("_tag")
+
+
+def _parts() -> Column:
+    """tag_parts of what `_one` makes."""
+    return F.when(F.col("_tag").isNull(), F.array().cast("array<string>")).otherwise(F.array("_tag"))
 
 
 def _counted(features: DataFrame, place: Callable[[DataFrame], DataFrame], keys: list[str], most: int, least: int, containing: list[str] | None) -> DataFrame:
@@ -75,7 +78,7 @@ def _counted(features: DataFrame, place: Callable[[DataFrame], DataFrame], keys:
     features = features.withColumn("tags", F.sort_array("tags"))
     lists = place(features).groupBy(*plain, "tags").agg(F.count(F.lit(1)).alias("_n"))
     if most == 1 and not containing:
-        found = _single(lists, plain, least)
+        found = lists.select(*plain, "_n", _one(least)).groupBy(*plain, "_tag").agg(F.sum("_n").alias("cnt")).withColumn("tag_parts", _parts())
     else:
         sets = features.select("tags").distinct().withColumn("_sets", tag_sets(F.col("tags"), most, least, containing))
         # An inner explode would push "has any set" down, and so make the sets of every record.
@@ -101,16 +104,18 @@ def _counted_by_block(features: DataFrame, slices: list[TimeSlice], grids: list[
 
     Records go to blocks of neighbouring cells of the finest grid and are counted there by slice, cell
     of each grid and tag list; these counts, which are bounded by cells and lists, go by slice and
-    cell, so that tags and combinations are made and summed up where the lists lie, without a
-    shuffle of their own.
+    cell, so that combinations are made and summed up where the lists lie, without a shuffle of
+    their own. Single tags are counted in the blocks already: over fine grids nearly every record
+    has a list of its own in its cell, so that lists would weigh more than the records.
     """
+    single = most == 1 and not containing
     fine = max(range(len(grids)), key=lambda i: grids[i].rows * grids[i].cols)
     side = max(1, int((grids[fine].rows * grids[fine].cols / BLOCKS) ** 0.5))
     # A slice's end is at or after a start if and only if it is so for the first of all ends that is; likewise its start.
     first = F.array_min(F.filter(F.array(*[F.lit(s.end) for s in slices]), lambda y: y >= F.col("start_year")))
     last = F.array_max(F.filter(F.array(*[F.lit(s.start) for s in slices]), lambda y: y <= F.col("end_year")))
     ats = [f"_at{i}" for i in range(len(grids))]
-    rows = _holding(features, least, containing).select("record_type", F.sort_array("tags").alias("tags"), first.alias("_first"), last.alias("_last"), *[cell(g)["cell_idx"].alias(a) for g, a in zip(grids, ats, strict=True)])
+    rows = _holding(features, least, containing).select("record_type", "tags" if single else F.sort_array("tags").alias("tags"), first.alias("_first"), last.alias("_last"), *[cell(g)["cell_idx"].alias(a) for g, a in zip(grids, ats, strict=True)])
     rows = rows.filter(F.col("_first").isNotNull() & F.col("_last").isNotNull() & F.coalesce(*ats).isNotNull())
     n = grids[fine].cols
     block = F.floor(F.col(ats[fine]) / (n * side)) * n + F.floor(F.col(ats[fine]) % n / side)
@@ -118,12 +123,17 @@ def _counted_by_block(features: DataFrame, slices: list[TimeSlice], grids: list[
 
     touched = F.filter(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(s.start).alias("start"), F.lit(s.end).alias("end")) for i, s in enumerate(slices)]), lambda s: (F.col("_first") <= s["end"]) & (F.col("_last") >= s["start"]))
     places = F.filter(F.array(*[F.struct(F.lit(i).alias("grid"), F.col(a).alias("cell")) for i, a in enumerate(ats)]), lambda p: p["cell"].isNotNull())
-    each = rows.select("_block", "record_type", "tags", F.explode(F.transform(touched, lambda s: s["i"])).alias("_slice"), *ats).select("_block", "record_type", "tags", "_slice", F.explode(places).alias("_place"))
+    what, known = ("_tag" if single else "tags"), ["_block", "record_type", "_first", "_last", *ats]
+    if single:  # before they are multiplied by slices and grids
+        rows = rows.select(*known, _one(least)).groupBy(*known, "_tag").agg(F.count(F.lit(1)).alias("_n"))
+    else:
+        rows = rows.withColumn("_n", F.lit(1).cast("long"))
+    each = rows.select("_block", "record_type", what, "_n", F.explode(F.transform(touched, lambda s: s["i"])).alias("_slice"), *ats).select("_block", "record_type", what, "_n", "_slice", F.explode(places).alias("_place"))
     keys = ["_grid", "_cell", "_slice", "record_type"]
-    lists = each.select("_block", F.col("_place.grid").alias("_grid"), F.col("_place.cell").alias("_cell"), "_slice", "record_type", "tags").groupBy("_block", *keys, "tags").agg(F.count(F.lit(1)).alias("_n"))
-    lists = lists.repartition(*keys).groupBy(*keys, "tags").agg(F.sum("_n").alias("_n"))
-    if most == 1 and not containing:
-        found = _single(lists, keys, least)
+    lists = each.select("_block", F.col("_place.grid").alias("_grid"), F.col("_place.cell").alias("_cell"), "_slice", "record_type", what, "_n").groupBy("_block", *keys, what).agg(F.sum("_n").alias("_n"))
+    lists = lists.repartition(*keys).groupBy(*keys, what).agg(F.sum("_n").alias("_n"))
+    if single:
+        found = lists.select(*keys, F.col("_n").alias("cnt"), _parts().alias("tag_parts"))
     else:
         # Outer here too, so that no record's sets are made below.
         found = lists.select(*keys, "_n", F.explode_outer(tag_sets(F.col("tags"), most, least, containing)).alias("tag_parts")).filter("tag_parts is not null").groupBy(*keys, "tag_parts").agg(F.sum("_n").alias("cnt"))

@@ -34,11 +34,15 @@ def _once(spark: SparkSession, sf_dir: str, name: str, write: Callable[[str], No
 
 
 def parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Canonical records, parsed once for each table folder and written as Parquet, so that lon and lat are pruned by statistics."""
+    """Canonical records, parsed once for each table folder and written as Parquet, so that lon and lat are pruned by statistics.
+
+    Large tables are parsed in several passes, each of which frees what it has shuffled before the next one.
+    """
 
     def write(path: str) -> None:
-        # Even files: without an exchange of the records themselves their number is that of the last join's tasks, one at times.
-        S.canonical(S.fixture_raw(spark, sf_dir)).hint("rebalance").write.parquet(path)
+        passes = S.fixture_passes(spark, sf_dir)
+        for at in range(passes):
+            S.canonical(S.fixture_raw(spark, sf_dir, at, passes)).write.mode("append").option("compression", "zstd").parquet(path)
 
     return spark.read.schema(RECORDS).parquet(_once(spark, sf_dir, "records", write))
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -111,10 +113,31 @@ from lineitem l join orders o on l.l_orderkey=o.o_orderkey
 """
 
 
-def fixture_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
-    names = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("lineitem", "orders", "customer", "part")}
-    sql = FIXTURE.format(string="string", open="array(", close=")")
-    for t in names:
-        sql = sql.replace(f"{t} {t[0]}", f"{{{t}}} {t[0]}")
-    rows = spark.sql(sql, **names)
+#: Bytes of lines for each pass in which records are made, and the most passes, so that reading stays in proportion.
+PASS_BYTES, PASSES = 64 << 20, 8
+
+
+def fixture_raw(spark: SparkSession, sf_dir: str, at: int = 0, passes: int = 1) -> DataFrame:
+    """Raw records of the test tables, or the share `at` of `passes` equal ones, by order.
+
+    The joins of FIXTURE in an order in which two of them shuffle lines (that with part and the
+    last), and these without text of their own: url, title and the like are made behind them.
+    """
+    t = {n: spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in ("lineitem", "orders", "customer", "part")}
+    lines = t["lineitem"].select("l_orderkey", "l_linenumber", "l_partkey", "l_returnflag", "l_linestatus", F.trunc("l_shipdate", "year").alias("l_shipdate"))
+    orders = t["orders"].withColumn("o_orderdate", F.trunc("o_orderdate", "year"))
+    if passes > 1:  # The planner infers the same of orders. Not the hash of shuffles, which would leave most of their partitions empty.
+        lines = lines.filter(F.pmod(F.xxhash64("l_orderkey"), F.lit(passes)) == at)
+    if passes < PASSES:  # up to about 450 MB lines may be one task or a few up to the end, if others are broadcast
+        lines = lines.hint("rebalance")
+    bought = orders.join(t["customer"], F.col("o_custkey") == F.col("c_custkey"))
+    joined = lines.join(t["part"], F.col("l_partkey") == F.col("p_partkey")).join(bought, F.col("l_orderkey") == F.col("o_orderkey"))
+    columns = FIXTURE.format(string="string", open="array(", close=")").partition("from lineitem")[0]
+    rows = spark.sql(re.sub(r"\b[locp]\.(?=[locp]_)", "", columns) + "from {joined}", joined=joined)
     return rows.select("ds", "geom", F.array("start_year", "end_year").alias("per"), F.col("title").alias("tit"), "url", F.col("record_type").alias("recordType"), "tags")
+
+
+def fixture_passes(spark: SparkSession, sf_dir: str) -> int:
+    """In how many passes to make the records of a table folder; from the sizes of files, without a job."""
+    found = spark.read.parquet(f"{sf_dir}/lineitem.parquet")._jdf.queryExecution().analyzed().stats().sizeInBytes()
+    return max(1, min(PASSES, -(-int(str(found)) // PASS_BYTES)))

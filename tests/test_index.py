@@ -212,3 +212,50 @@ def test_stored_tables_leave_no_shuffle_files(spark, tmp_path):
             break
         time.sleep(0.1)
     assert not left and spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+
+
+def _exchanges(df):
+    """The columns that each shuffle of a plan carries, from the top down."""
+    found = []
+
+    def walk(node):
+        if node.getClass().getSimpleName() == "ShuffleExchangeExec":
+            found.append({node.output().apply(i).name() for i in range(node.output().size())})
+        for i in range(node.children().size()):
+            walk(node.children().apply(i))
+
+    walk(df._jdf.queryExecution().executedPlan().initialPlan())
+    return found
+
+
+def test_single_tags_are_counted_before_lists_are_shuffled(spark):
+    """In its cell nearly every record has a list of its own, so lists by slice and grid would weigh more than the records."""
+    f = catalogue.features(spark, SF)
+    for least in (0, 1):
+        counts, records = _exchanges(C.counts(f, catalogue.SLICES, GRIDS, 1, least))
+        assert "_tag" in counts and "tags" not in counts and "tags" in records
+
+
+def test_ingest_shuffles_lines_twice_and_no_made_text(spark):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = _exchanges(S.canonical(S.fixture_raw(spark, SF, 1, S.PASSES)))
+        plan = S.fixture_raw(spark, SF, 1, S.PASSES)._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert sum("l_linenumber" in x for x in found) == 2
+    assert not any({"url", "tit", "title", "geom", "ds", "dataset", "tags"} & x for x in found)
+    assert "xxhash64(o_orderkey" in plan  # a pass leaves out the other passes' orders, too
+
+
+def test_ingest_in_passes_gives_the_same_records(spark, tmp_path, monkeypatch):
+    rows = {}
+    for size in (1, 1 << 40):
+        monkeypatch.setattr(S, "PASS_BYTES", size)
+        assert S.fixture_passes(spark, SF) == (S.PASSES if size == 1 else 1)
+        (tmp_path / str(size)).symlink_to(SF)
+        rows[size] = sorted(map(repr, catalogue.parsed(spark, str(tmp_path / str(size))).collect()))
+    assert rows[1] == rows[1 << 40] != []
+    shares = [S.fixture_raw(spark, SF, at, 3).count() for at in range(3)]
+    assert sum(shares) == len(rows[1]) and min(shares) > 0
